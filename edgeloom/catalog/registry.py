@@ -56,12 +56,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return wrap
 
 
-_READERS: dict[tuple[int, str], DataFrame] = {}
+_READERS: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A source table; the reader is kept so its footers are listed once per session."""
-    key = (id(spark), f"{sf_dir}/{name}.parquet")
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
     if key not in _READERS:
         _READERS[key] = spark.read.parquet(key[1])
     return _READERS[key]
