@@ -17,12 +17,23 @@ from edgeloom.session import pin
 MAX_ROUNDS = 100
 
 
-def _fingerprint(star: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    row = star.agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return row["n"], row["h"]
+def _is_star(star: DataFrame, keys: list[str]) -> bool:
+    """Settled: every node points at one root, and no root points anywhere."""
+    roles = star.select(
+        *keys,
+        F.inline(
+            F.array(
+                F.struct(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("root")),
+                F.struct(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("root")),
+            )
+        ),
+    )
+    mixed = (
+        roles.groupBy(*keys, "x")
+        .agg(F.sum("out").alias("out"), F.max("root").alias("root"))
+        .filter("out > 1 OR (out = 1 AND root = 1)")
+    )
+    return mixed.isEmpty()
 
 
 def _large_star(star: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,13 +84,10 @@ def component_stars(
         .select(*keys, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .distinct()
     )
-    seen = _fingerprint(star, keys)
     for _ in range(MAX_ROUNDS):
-        star = pin(_small_star(_large_star(star, keys), keys))
-        now = _fingerprint(star, keys)
-        if now == seen:
+        if _is_star(star, keys):
             return star
-        seen = now
+        star = pin(_small_star(_large_star(star, keys), keys))
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 

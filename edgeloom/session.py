@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,19 +37,25 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="spark-edgeloom-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage.
+    """Write ``df`` to the checkpoint folder and read it back: no lineage left.
 
-    Iterative operators call this once per round.  The folder is the one the
-    cluster names in ``spark.checkpoint.dir``; only a local session that names
-    none falls back to a temporary folder.
+    Iterative operators call this once per round, and plans call it for inputs
+    they scan several times.  A written table survives lost executors, keeps
+    column pruning for its readers, and carries true size statistics.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-edgeloom-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
