@@ -185,7 +185,7 @@ def migrate(spark, d):
             worst AS (SELECT run, island, id, score FROM members QUALIFY row_number() OVER (PARTITION BY run, island ORDER BY score, id) = 1),
             moves AS (SELECT b.run, w.island, b.id AS new_id, b.score AS new_score, w.id AS old_id FROM best b
               JOIN worst w ON w.run = b.run AND w.island = (b.island + 1) % 8 WHERE b.score > w.score)
-            SELECT run, island, count(*) AS n, max(score) AS best_score, sum(score) / 1e6 AS score FROM (
+            SELECT run, island, count(*) AS n, max(score) AS best_score, sum(score) / 1e4 AS score FROM (
               SELECT m.* FROM members m ANTI JOIN moves v ON v.run = m.run AND v.island = m.island AND v.old_id = m.id
               UNION ALL SELECT run, island, new_id, new_score FROM moves) GROUP BY run, island""",
     ),
@@ -194,7 +194,7 @@ def replace_worst(spark, d):
     rows = members(spark, d)
     after = A.ring_migration_replace_worst(rows, rows.select("run", "island").distinct(), ["run"])
     return after.groupBy("run", "island").agg(
-        F.count("*").alias("n"), F.max("score").alias("best_score"), (F.sum("score") / 1e6).alias("score")
+        F.count("*").alias("n"), F.max("score").alias("best_score"), (F.sum("score") / 1e4).alias("score")
     )
 
 

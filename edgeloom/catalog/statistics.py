@@ -52,7 +52,7 @@ boot AS (SELECT num.*, drawn.rep FROM drawn JOIN num USING ({k}, pos))"""
     rounded(
         "total",
         f"""WITH src AS (SELECT o_orderpriority AS grp, o_orderkey AS id, o_totalprice AS v FROM orders), {DRAWS.format(k='grp', i='id', t='src', r=REPS)}
-            SELECT grp, rep, count(*) AS drawn, count(DISTINCT id) AS distinct_rows, sum(v) / 1e6 AS total FROM boot GROUP BY grp, rep""",
+            SELECT grp, rep, count(*) AS drawn, count(DISTINCT id) AS distinct_rows, sum(v) / 1e4 AS total FROM boot GROUP BY grp, rep""",
     ),
 )
 def resample(spark, d):
@@ -61,7 +61,7 @@ def resample(spark, d):
     )
     out = B.bootstrap_resample(rows, ["grp"], REPS, 42, ["id"])
     return out.groupBy("grp", "rep").agg(
-        F.sum("times").alias("drawn"), F.count("*").alias("distinct_rows"), (F.sum(F.col("v") * F.col("times")) / 1e6).alias("total")
+        F.sum("times").alias("drawn"), F.count("*").alias("distinct_rows"), (F.sum(F.col("v") * F.col("times")) / 1e4).alias("total")
     )
 
 

@@ -43,12 +43,11 @@ def _frac(key: str) -> str:
     rounded(
         "score",
         f"""WITH {DOCS_SQL} SELECT id, greatest(0, least(1, 0.55 * ({_quality('a')}) + 0.45 * ({_quality('b')}) + {_frac('id::VARCHAR')} * 0.1 - 0.05)) AS score FROM ws""",
-        5,
     ),
 )
 def proxy(spark, d):
-    """Scores to five digits: the operator itself rounds to six."""
-    return docs(spark, d).select("id", F.round(T.proxy_score(), 5).alias("score"))
+    """Scores before the operator's rounding to six digits."""
+    return docs(spark, d).select("id", T.proxy_score(digits=None).alias("score"))
 
 
 @query(

@@ -1,0 +1,111 @@
+"""Extreme eigenvalues of graphs too large for one task.
+
+The vectors live in a DataFrame, one row per node; a step is a join along the
+edges, a sum per node and a handful of dot products per graph.  Only the small
+tridiagonal coefficients per graph are solved in one place.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from edgeloom.functions.keys import text_hash, hash_int
+from edgeloom.session import pin
+
+G = ["graph_id"]
+
+
+def _ritz(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("step")
+    alpha, beta = pdf["alpha"].to_numpy(), pdf["beta"].to_numpy()
+    stop = np.flatnonzero(beta < 1e-10)
+    m = int(stop[0]) + 1 if len(stop) else len(alpha)
+    t = np.diag(alpha[:m]) + np.diag(beta[: m - 1], 1) + np.diag(beta[: m - 1], -1)
+    values = np.linalg.eigvalsh(t)
+    return pd.DataFrame({"graph_id": [pdf["graph_id"].iloc[0]], "values": [values.tolist()]})
+
+
+def lanczos(links: DataFrame, nodes: DataFrame, matrix: str, steps: int, deflate: Column | None) -> DataFrame:
+    """Ritz values per graph of ``adjacency``, ``laplacian`` or ``normalized``.
+
+    ``nodes(graph_id, idx, deg)``; ``links`` holds both directions (x, y).
+    ``deflate`` is a known null vector that is projected out of every step.
+    """
+    start = hash_int(text_hash(*G, "idx")) / float(1 << 31) - 1.0
+    base = nodes.withColumn("_k", deflate if deflate is not None else F.lit(0.0)).withColumn("q0", start)
+
+    def project(df: DataFrame, col: str, names: list[str]) -> DataFrame:
+        dots = df.groupBy(*G).agg(*[F.sum(F.col(col) * F.col(n)).alias(f"_d{i}") for i, n in enumerate(names)])
+        out = df.join(dots, G)
+        total = sum([F.col(f"_d{i}") * F.col(n) for i, n in enumerate(names)], F.lit(0.0))
+        return out.withColumn(col, F.col(col) - total).drop(*[f"_d{i}" for i in range(len(names))])
+
+    def normalised(df: DataFrame, col: str, keep: str) -> DataFrame:
+        length = df.groupBy(*G).agg(F.sqrt(F.sum(F.col(col) * F.col(col))).alias(keep))
+        scale = F.when(F.col(keep) > 1e-12, F.col(keep)).otherwise(F.lit(1.0))
+        return df.join(length, G).withColumn(col, F.col(col) / scale)
+
+    if deflate is not None:
+        base = normalised(base, "_k", "_len").drop("_len")
+        base = project(base, "q0", ["_k"])
+    state = pin(normalised(base, "q0", "_len").drop("_len"))
+    coefficients = None
+    for j in range(steps):
+        q = f"q{j}"
+        weight = F.col(q) / F.sqrt(F.greatest(F.col("deg"), F.lit(1))) if matrix == "normalized" else F.col(q)
+        sent = state.select(*G, F.col("idx").alias("x"), weight.alias("_s"))
+        got = links.join(sent, [*G, "x"]).groupBy(*G, F.col("y").alias("idx")).agg(F.sum("_s").alias("_a"))
+        joined = state.join(got, [*G, "idx"], "left").fillna(0.0, ["_a"])
+        if matrix == "adjacency":
+            w = F.col("_a")
+        elif matrix == "laplacian":
+            w = F.col("deg") * F.col(q) - F.col("_a")
+        else:
+            w = F.when(F.col("deg") > 0, F.col(q) - F.col("_a") / F.sqrt(F.greatest(F.col("deg"), F.lit(1)))).otherwise(0.0)
+        moved = pin(joined.withColumn("_w", w).drop("_a"))
+        alpha = moved.groupBy(*G).agg(F.sum(F.col("_w") * F.col(q)).alias("alpha"))
+        names = (["_k"] if deflate is not None else []) + [f"q{i}" for i in range(j + 1)]
+        clean = project(project(moved, "_w", names), "_w", names)
+        state = pin(normalised(clean, "_w", "beta").withColumnRenamed("_w", f"q{j + 1}"))
+        beta = state.groupBy(*G).agg(F.first("beta").alias("beta"))
+        state = state.drop("beta")
+        row = alpha.join(beta, G).withColumn("step", F.lit(j))
+        coefficients = row if coefficients is None else coefficients.unionByName(row)
+    id_type = dict(nodes.dtypes)["graph_id"]
+    return coefficients.groupBy(*G).applyInPandas(_ritz, f"graph_id {id_type}, values array<double>")
+
+
+def large_spectra(num: DataFrame, links: DataFrame, large: DataFrame, steps: int = 60) -> DataFrame:
+    """The columns of the dense solver, by Lanczos with full reorthogonalisation."""
+    both = pin(
+        links.join(large.select(*G), G, "left_semi").select(
+            *G, F.inline(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")),
+                                 F.struct(F.col("v").alias("x"), F.col("u").alias("y"))))
+        )
+    )
+    deg = both.groupBy(*G, F.col("x").alias("idx")).agg(F.count("*").alias("deg"))
+    nodes = pin(
+        num.join(large.select(*G), G, "left_semi").select(*G, "idx").join(deg, [*G, "idx"], "left").fillna(0, ["deg"])
+    )
+    adjacency = lanczos(both, nodes, "adjacency", steps, None).select(*G, F.col("values").alias("va"))
+    laplacian = lanczos(both, nodes, "laplacian", steps, F.lit(1.0)).select(*G, F.col("values").alias("vl"))
+    normal = lanczos(both, nodes, "normalized", steps, F.sqrt("deg")).select(*G, F.col("values").alias("vn"))
+    totals = nodes.groupBy(*G).agg(F.sum("deg").alias("total"))
+    low = F.greatest(F.element_at("vl", 1), F.lit(0.0))
+    low = F.when(low > 1e-9, low).otherwise(0.0)
+    high = F.greatest(F.element_at("vl", -1), F.lit(0.0))
+    top5 = F.aggregate(F.slice(F.reverse("vl"), 1, 5), F.lit(0.0), lambda a, x: a + x)
+    return adjacency.join(laplacian, G).join(normal, G).join(totals, G).select(
+        *G,
+        F.array_max(F.transform("va", F.abs)).alias("spectral_radius"),
+        low.alias("algebraic_connectivity"),
+        high.alias("laplacian_max"),
+        (high - low).alias("laplacian_gap"),
+        F.greatest(F.element_at("vn", 1), F.lit(0.0)).alias("normalized_lambda2"),
+        F.coalesce(F.greatest(F.least(top5 / F.nullif(F.col("total"), F.lit(0)), F.lit(1.0)), F.lit(0.0)), F.lit(0.0)).alias(
+            "laplacian_energy_ratio"
+        ),
+    )
