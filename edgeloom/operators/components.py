@@ -101,9 +101,11 @@ def connected_components(
 ) -> DataFrame:
     """``(keys…, node, component)`` for every node; isolated nodes are their own."""
     keys = list(keys)
-    star = component_stars(edges, keys, src, dst).withColumnRenamed("u", node)
+    star = component_stars(edges, keys, src, dst).select(
+        *keys, F.col("u").alias(node), F.col("v").alias("_root")
+    )
     return (
         nodes.select(*keys, node)
         .join(star, [*keys, node], "left")
-        .select(*keys, node, F.coalesce("v", node).alias("component"))
+        .select(*keys, node, F.coalesce("_root", node).alias("component"))
     )
