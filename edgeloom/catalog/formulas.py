@@ -16,12 +16,12 @@ FEATURES_SQL = CORPUS_SQL + f""",
 fe AS (SELECT * FROM ({G1}) JOIN ({CL}) USING (graph_id)),
 sp AS (SELECT *, CASE WHEN right(graph_id, 2) <= '08' THEN 'train' WHEN right(graph_id, 2) <= '10' THEN 'val' ELSE 'test' END AS split FROM fe),
 pr AS (SELECT graph_id, split, avg_clustering AS y, 'ratio' AS candidate, m / n AS pred FROM sp UNION ALL SELECT graph_id, split, avg_clustering, 'inverse', 1 / density FROM sp
-  UNION ALL SELECT graph_id, split, avg_clustering, 'odd', CASE WHEN max_degree > 60 THEN ln(max_degree - 60) END FROM sp)"""
+  UNION ALL SELECT graph_id, split, avg_clustering, 'odd', CASE WHEN m % 2 = 0 THEN ln(max_degree) END FROM sp)"""
 
 CANDIDATES = {
     "ratio": "m / n",
     "inverse": "try_divide(1D, density)",
-    "odd": "CASE WHEN max_degree > 60 THEN ln(max_degree - 60) END",
+    "odd": "CASE WHEN m % 2 = 0 THEN ln(max_degree) END",
     "unknown_column": "n / girth",
     "bad_syntax": "n +* 2",
 }
@@ -116,12 +116,12 @@ def novelty_interval(spark, d):
 
 @query(
     "F6_total_score",
-    rounded("score", "SELECT o_orderkey AS id, 0.6 * o_totalprice / 500000 + 0.2 * (o_custkey % 10) / 10.0 + 0.2 * (o_custkey % 7) / 7.0 AS score FROM orders"),
+    rounded("score", "SELECT o_orderkey AS id, 0.6 * o_totalprice / 493331 + 0.2 * (o_custkey % 11) / 11.0::DOUBLE + 0.2 * (o_custkey % 7) / 7.0::DOUBLE AS score FROM orders"),
 )
 def total(spark, d):
     c = F.col("o_custkey")
     return table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), M.total_score(F.col("o_totalprice") / 500000, (c % 10) / 10.0, (c % 7) / 7.0).alias("score")
+        F.col("o_orderkey").alias("id"), M.total_score(F.col("o_totalprice") / 493331, (c % 11) / 11.0, (c % 7) / 7.0).alias("score")
     )
 
 
