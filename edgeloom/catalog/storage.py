@@ -10,6 +10,7 @@ from edgeloom.catalog.archives import BINS, ITEMS_SQL, merged
 from edgeloom.catalog.derive import region_kg, with_kg
 from edgeloom.catalog.experiments import LOG_SQL, METRIC_SQL, RUNS_SQL, event_log, metric_table, runs
 from edgeloom.catalog.registry import query, rounded, table
+from edgeloom.operators.archive import survivors
 from edgeloom.schema import PROPOSAL_FIELDS
 from edgeloom.session import checkpoint_folder
 from edgeloom.sources import documents as D
@@ -77,14 +78,18 @@ def archive_table(spark, d):
 
 
 def checkpoint_docs(spark, d):
-    """One checkpoint per order priority and month: islands of orders plus the archive."""
+    """One checkpoint per order priority and month: five best orders per island, and the archive."""
     proposal = F.struct(*[
         (F.concat(F.lit("order:"), "o_orderkey") if f == "id" else F.lit(None).cast("string")).alias(f) for f in PROPOSAL_FIELDS
     ])
-    per_island = table(spark, d, "orders").groupBy(
+    rows = table(spark, d, "orders").select(
         F.col("o_orderpriority").alias("experiment_id"), F.month("o_orderdate").alias("generation"),
-        (F.col("o_custkey") % 4).cast("string").alias("island"),
-    ).agg(F.sort_array(F.collect_list(proposal)).alias("items"), F.max("o_totalprice").alias("top"))
+        (F.col("o_custkey") % 4).cast("string").alias("island"), F.col("o_orderkey").alias("id"),
+        F.col("o_totalprice").alias("score"), proposal.alias("proposal"),
+    )
+    per_island = survivors(rows, ["experiment_id", "generation"], 5).groupBy(
+        "experiment_id", "generation", "island"
+    ).agg(F.sort_array(F.collect_list("proposal")).alias("items"), F.max("score").alias("top"))
     islands = per_island.groupBy("experiment_id", "generation").agg(
         F.map_from_entries(F.collect_list(F.struct("island", "items"))).alias("islands"), F.max("top").alias("best_gain")
     )
@@ -92,7 +97,8 @@ def checkpoint_docs(spark, d):
     return islands.join(archives, "experiment_id", "left")
 
 
-CHECK_SQL = """cp AS (SELECT o_orderpriority AS experiment_id, month(o_orderdate)::INTEGER AS generation, (o_custkey % 4)::INTEGER AS island, o_orderkey, o_totalprice FROM orders)"""
+CHECK_SQL = """cp AS (SELECT o_orderpriority AS experiment_id, month(o_orderdate)::INTEGER AS generation, (o_custkey % 4)::INTEGER AS island, o_orderkey, o_totalprice FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_orderpriority, month(o_orderdate), o_custkey % 4 ORDER BY o_totalprice DESC, o_orderkey) <= 5)"""
 
 
 @query(
