@@ -369,7 +369,7 @@ def valued(spark, d):
     )
 
 
-GRID_SQL = "grid(w_id, a, b) AS (VALUES (0, .3, .1), (1, .3, .3), (2, .5, .1), (3, .5, .3), (4, .7, .1), (5, .7, .3))"
+GRID_SQL = "wgrid(w_id, a, b) AS (VALUES (0, .3, .1), (1, .3, .3), (2, .5, .1), (3, .5, .3), (4, .7, .1), (5, .7, .3))"
 
 
 @query(
@@ -378,7 +378,7 @@ GRID_SQL = "grid(w_id, a, b) AS (VALUES (0, .3, .1), (1, .3, .3), (2, .5, .1), (
         "score, frequency",
         with_kg(
             """SELECT domain, w_id, (a * compressibility + b * coherence + .25 * symmetry) / (a + b + .25) AS score, hits AS frequency
-               FROM comp CROSS JOIN grid JOIN fm USING (domain)""",
+               FROM comp CROSS JOIN wgrid JOIN fm USING (domain)""",
             f"{COMPONENTS}, {GRID_SQL}, __FREQ__",
         ),
     ),

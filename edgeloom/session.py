@@ -33,6 +33,9 @@ def tune(spark: SparkSession) -> SparkSession:
     then AQE leaves a skewed side alone unless it may add the extra exchange.
     """
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Wide rows of counts and masks compress well: a small shuffle partition may
+    # still be much work, so do not merge partitions below the core count early.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
