@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.catalog.registry import table
+from edgeloom.session import pin
 from edgeloom.sources.kg import attributes_to_facts, map_relations
 
 # Relation → edge type; the third column says whether head and tail swap.
@@ -112,7 +113,8 @@ def endpoint_entities(edges: DataFrame) -> DataFrame:
 
 
 def region_kg(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    edges = region_edges(spark, d)
+    """Entities and edges; the joined edges are written once, as every user scans them often."""
+    edges = pin(region_edges(spark, d))
     return endpoint_entities(edges), edges
 
 

@@ -318,10 +318,7 @@ def minmax(spark, d):
 )
 def composite(spark, d):
     entities, edges = region_kg(spark, d)
-    edges = pin(edges)
-    from edgeloom.catalog.derive import endpoint_entities
-
-    out = C.composite_score(edges, endpoint_entities(edges), KEYS, NO_MODEL)
+    out = C.composite_score(edges, entities, KEYS, NO_MODEL)
     return out.drop("distortion")
 
 
@@ -334,7 +331,6 @@ def composite(spark, d):
 )
 def distortion(spark, d):
     entities, edges = region_kg(spark, d)
-    edges = pin(edges)
     out = C.composite_score(edges, entities, KEYS, C.Weights(5, 3, 2, 0, 0))
     return out.select("domain", "distortion")
 
@@ -358,7 +354,7 @@ valued AS (SELECT a.domain, (a.score - b.score - 0.1 * coalesce(n, 0) / n_edges)
 def valued(spark, d):
     """Value (in thousandths) of inserting every usable edge proposal at once."""
     entities, edges = region_kg(spark, d)
-    edges, entities = pin(edges), pin(entities)
+    entities = pin(entities)
     after_edges = pin(M.apply_proposals_bulk(entities, edges, supplier_proposals(spark, d), KEYS))
     before = C.composite_score(edges, entities, KEYS, NO_MODEL)
     after = C.composite_score(after_edges, entities, KEYS, NO_MODEL)
@@ -386,7 +382,7 @@ GRID_SQL = "wgrid(w_id, a, b) AS (VALUES (0, .3, .1), (1, .3, .3), (2, .5, .1),
 def weight_grid(spark, d):
     """The grid with generativity off, next to the frequency baseline."""
     entities, edges = region_kg(spark, d)
-    edges, entities = pin(edges), pin(entities)
+    entities = pin(entities)
     parts = C.score_parts(edges, entities, KEYS, C.Weights(0.25, 0.25, 0.25, 0.0, 0.1))
     grid = [(a, b, c, 0.0, 0.0) for a, b, c, _ in C.WEIGHT_GRID]
     return C.weight_sweep(parts, grid).select("domain", "w_id", "score", "frequency")
@@ -408,7 +404,7 @@ EPSILONS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3)
 )
 def epsilon_sweep(spark, d):
     entities, edges = region_kg(spark, d)
-    edges, entities = pin(edges), pin(entities)
+    entities = pin(entities)
     parts = C.score_parts(edges, entities, KEYS, C.Weights(0.25, 0.25, 0.25, 0.0, 0.1))
     rows = [(0.25, 0.25, 0.25, 0.0, e) for e in EPSILONS]
     return C.weight_sweep(parts, rows).select("domain", "w_id", "score")

@@ -193,11 +193,11 @@ def delta_correlation(spark, d):
 def ablation(spark, d):
     """Full and leave-one-out scores over edge-resampled region graphs."""
     entities, edges = region_kg(spark, d)
-    return RS.bootstrap_ablation(pin(edges), pin(entities), ["domain"], replicates=2)
+    return RS.bootstrap_ablation(edges, pin(entities), ["domain"], replicates=2)
 
 
 @query("B7_component_ci")
 def component_ci(spark, d):
     """Component table with intervals over seeds for the sampled component."""
     entities, edges = region_kg(spark, d)
-    return RS.component_ci(pin(edges), pin(entities), ["domain"], seeds=(42, 43), replicates=200, dim=8, epochs=1)
+    return RS.component_ci(edges, pin(entities), ["domain"], seeds=(42, 43), replicates=200, dim=8, epochs=1)

@@ -60,14 +60,20 @@ def ordered_positions(
     order: Sequence[Column | str],
     bucket: Column,
     name: str = "pos",
+    total: str | None = None,
 ) -> DataFrame:
-    """Exact ``row_number()`` per ``keys``; no task ever holds a whole group."""
+    """Exact ``row_number()`` per ``keys``; no task ever holds a whole group.
+
+    ``total`` names a column for the group size, which the bucket rows know.
+    """
     keys = list(keys)
     tagged = df.withColumn("_bucket", bucket)
     sizes = tagged.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    extra = [F.sum("_n").over(whole).alias(total)] if total else []
     offsets = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), *extra
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
@@ -142,13 +148,20 @@ def running_sum(
 def expand_copies(df: DataFrame, count_col: str, copy_col: str, chunk: int = 65536) -> DataFrame:
     """Rows repeated ``count_col`` times and numbered from 1.
 
-    A heavily repeated row is cut into chunks that are spread over the cluster
-    before they are expanded.
+    Only a heavily repeated row costs a shuffle: it is cut into chunks that are
+    spread over the cluster before they are expanded.
     """
     others = [c for c in df.columns if c != count_col]
+    few = df.filter(F.col(count_col) <= chunk).select(
+        *others, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count_col))).alias(copy_col)
+    )
     last_chunk = F.floor((F.col(count_col) - 1) / chunk).cast("long")
-    chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
-    spread = chunks.repartition(*others, "_chunk")
+    chunks = df.filter(F.col(count_col) > chunk).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk))
+    )
     first = F.col("_chunk") * chunk + 1
     last = F.least(F.col(count_col).cast("long"), (F.col("_chunk") + 1) * chunk)
-    return spread.select(*others, F.explode(F.sequence(first, last)).alias(copy_col))
+    many = chunks.repartition(*others, "_chunk").select(
+        *others, F.explode(F.sequence(first, last)).alias(copy_col)
+    )
+    return few.unionByName(many)

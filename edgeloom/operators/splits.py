@@ -11,7 +11,7 @@ from edgeloom.functions.keys import expand_copies, hash_bucket, ordered_position
 
 
 def shuffled_edges(edges: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    """Edges numbered 1…n per graph in a seeded pseudo-random order.
+    """Edges numbered ``pos`` = 1…``n`` per graph in a seeded pseudo-random order.
 
     Parallel copies are numbered first, so each of them gets its own hash.
     """
@@ -20,12 +20,7 @@ def shuffled_edges(edges: DataFrame, keys: Sequence[str], seed: int) -> DataFram
     rows = expand_copies(copies, "_copies", "copy").withColumn(
         "h", text_hash(F.lit(seed), *keys, "src", "dst", "et", "copy")
     )
-    return ordered_positions(rows, keys, ["h"], hash_bucket("h"))
-
-
-def _with_size(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    sizes = edges.groupBy(*keys).agg(F.count("*").alias("n"))
-    return rows.join(sizes, keys)
+    return ordered_positions(rows, keys, ["h"], hash_bucket("h"), total="n")
 
 
 def mask_split(
@@ -35,7 +30,7 @@ def mask_split(
     if not 0.0 < ratio < 1.0:
         raise ValueError(f"ratio must be in (0, 1), got {ratio}")
     keys = list(keys)
-    rows = _with_size(shuffled_edges(edges, keys, seed), edges, keys)
+    rows = shuffled_edges(edges, keys, seed)
     n_test = F.greatest(F.lit(1), F.floor(F.col("n") * ratio))
     label = F.when(F.col("pos") <= n_test, "test").otherwise("train")
     return rows.select(*keys, "src", "dst", "et", "copy", label.alias("split"))
@@ -48,7 +43,7 @@ def kg_split(
     if not 0.0 < hidden_ratio < 1.0:
         raise ValueError(f"hidden_ratio must be in (0, 1), got {hidden_ratio}")
     keys = list(keys)
-    rows = _with_size(shuffled_edges(edges, keys, seed), edges, keys)
+    rows = shuffled_edges(edges, keys, seed)
     n_hidden = F.greatest(F.lit(1), F.bround(F.col("n") * hidden_ratio).cast("long"))
     rest = F.col("n") - F.col("n_hidden")
     tenth = F.bround(rest * 0.1).cast("long")
