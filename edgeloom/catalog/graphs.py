@@ -9,7 +9,6 @@ from edgeloom.catalog.registry import query, rounded
 from edgeloom.operators import structure as S
 from edgeloom.operators.components import connected_components
 from edgeloom.operators.triangles import directed_triangles
-from edgeloom.schema import mask_names
 from edgeloom.sources.kg import integrity_violations, map_relations
 
 KEYS = ["domain"]

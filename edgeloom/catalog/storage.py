@@ -54,9 +54,10 @@ def kg_read(spark, d):
         SELECT DISTINCT domain, id FROM (SELECT domain, src AS id FROM e UNION ALL SELECT domain, dst FROM e)) v GROUP BY domain""",
 )
 def kg_write(spark, d):
-    docs = K.kg_documents(*nation_kg(spark, d))
-    return docs.select(
-        "domain", F.size("entities").cast("long").alias("n_entities"), F.size("edges").cast("long").alias("n_edges")
+    docs = K.kg_documents(*nation_kg(spark, d), rows=20)
+    return docs.groupBy("domain").agg(
+        F.sum(F.size(F.coalesce("entities", F.array()))).alias("n_entities"),
+        F.sum(F.size(F.coalesce("edges", F.array()))).alias("n_edges"),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.functions.keys import expand_copies
 from edgeloom.schema import EDGE_TYPES, KG_DOCUMENT
 
 
@@ -37,31 +38,52 @@ def normalise_edge_type(col: Column) -> Column:
     return F.lower(col)
 
 
-def write_kg_documents(entities: DataFrame, edges: DataFrame, path: str) -> None:
-    """One JSON document per domain, for graphs that fit one document."""
-    kg_documents(entities, edges).write.mode("overwrite").json(path)
+# A document is one row, so its size must be bounded; a larger graph is written
+# as several documents of the same domain, which the reader merges by itself.
+ROWS_PER_DOCUMENT = 50_000
 
 
-def kg_documents(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    props_v = "properties" if "properties" in entities.columns else None
-    props_e = "properties" if "properties" in edges.columns else None
+def write_kg_documents(
+    entities: DataFrame, edges: DataFrame, path: str, rows: int = ROWS_PER_DOCUMENT
+) -> None:
+    kg_documents(entities, edges, rows).write.mode("overwrite").json(path)
+
+
+def kg_documents(
+    entities: DataFrame, edges: DataFrame, rows: int = ROWS_PER_DOCUMENT
+) -> DataFrame:
+    """``(domain, part, entities, edges)`` documents of about ``rows`` items each."""
     empty = F.create_map().cast("map<string,string>")
-    ents = entities.groupBy("domain").agg(
-        F.sort_array(F.collect_list(F.struct("id", "entity_type"))).alias("entities")
-        if props_v is None
-        else F.collect_list(F.struct("id", "entity_type", "properties")).alias("entities")
+
+    def props(df: DataFrame) -> Column:
+        return (F.col("properties") if "properties" in df.columns else empty).alias("properties")
+
+    sizes = (
+        entities.select("domain").unionByName(edges.select("domain"))
+        .groupBy("domain").agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    )
+
+    def packed(df: DataFrame, identity: Sequence[str], item: Column, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*identity), F.col("_parts")).alias("part")
+        return (
+            df.join(sizes, "domain").select("domain", part, item.alias("_item"))
+            .groupBy("domain", "part").agg(F.collect_list("_item").alias(name))
+        )
+
+    nodes = packed(entities, ["id"], F.struct("id", "entity_type", props(entities)), "entities")
+    # Copies of one edge are numbered, so that they spread over the parts too.
+    same = ["domain", "src", "dst", "et", "_props"]
+    counted = (
+        edges.select("domain", "src", "dst", "et", F.to_json(props(edges)).alias("_props"))
+        .groupBy(*same).agg(F.count("*").alias("_n"))
     )
-    links = edges.groupBy("domain").agg(
-        F.collect_list(
-            F.struct(
-                F.col("src").alias("source"),
-                F.col("dst").alias("target"),
-                F.col("et").alias("edge_type"),
-                (F.col(props_e) if props_e else empty).alias("properties"),
-            )
-        ).alias("edges")
+    copies = expand_copies(counted, "_n", "_copy")
+    link = F.struct(
+        F.col("src").alias("source"), F.col("dst").alias("target"), F.col("et").alias("edge_type"),
+        F.from_json("_props", "map<string,string>").alias("properties"),
     )
-    return ents.join(links, "domain", "full_outer")
+    links = packed(copies, [*same[1:], "_copy"], link, "edges")
+    return nodes.join(links, ["domain", "part"], "full_outer")
 
 
 def write_kg_tables(entities: DataFrame, edges: DataFrame, path: str) -> None:
