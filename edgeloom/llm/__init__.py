@@ -4,6 +4,8 @@ import importlib
 
 MODULES = (
     "mixing",
+    "packing",
+    "langid",
 )
 
 
