@@ -3,6 +3,8 @@
 import importlib
 
 MODULES = (
+    "simhash",
+    "secret_scan",
     "mixing",
     "packing",
     "langid",

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.keys import ordered_positions, text_hash
-from edgeloom.llm.common import WORD, query, read
+from edgeloom.llm.common import WORD, query, read, settle
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -165,6 +165,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, with its own columns."""
+    settle(spark)
     mixed = mix(docs, word_count(F.col("text")), F.xxhash64("text"))
     return mixed.filter("_copies > 0").select(
         *[F.col(f"`{c}`") for c in docs.columns if c != "_copy"],

@@ -201,4 +201,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the last one, so it returns the packed pieces."""
-    return pack(settle(spark) and docs)
+    settle(spark)
+    return pack(docs)
