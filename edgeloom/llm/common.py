@@ -37,8 +37,8 @@ def settle(spark: SparkSession) -> SparkSession:
     """
     tune(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
@@ -113,7 +113,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     first = lists.offsets.to_numpy()
     encoded = lists.flatten().dictionary_encode()
     words = encoded.dictionary.cast(pa.binary()).to_pylist()
-    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    codes = encoded.indices.to_numpy(zero_copy_only=False)
     return codes, words, first - first[0]
 
 

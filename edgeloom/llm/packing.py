@@ -49,14 +49,15 @@ def ids_of_words(tok, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     text = [w.decode() for w in words]
     mark = tok.encode(BETWEEN, add_special_tokens=False).ids
     joined = [i for i, w in enumerate(text) if BETWEEN not in w and "<|" not in w] if len(mark) == 1 else []
-    groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
-    encoded = tok.encode_batch_fast([f" {BETWEEN} ".join(text[i] for i in g) for g in groups], add_special_tokens=False)
     order, parts = [], []
-    for group, line in zip(groups, encoded, strict=True):
-        ids = line.ids
-        if ids.count(mark[0]) == len(group) - 1:  # else a word is normalised into the mark
-            order += group
-            parts.append(np.array([*ids, mark[0]], "<u4"))
+    for at in range(0, len(joined), 16_384):  # an encoding holds far more than its ids
+        groups = [joined[i : min(i + 256, at + 16_384)] for i in range(at, min(len(joined), at + 16_384), 256)]
+        lines = [f" {BETWEEN} ".join(text[i] for i in g) for g in groups]
+        for group, line in zip(groups, tok.encode_batch_fast(lines, add_special_tokens=False), strict=True):
+            ids = line.ids
+            if ids.count(mark[0]) == len(group) - 1:  # else a word is normalised into the mark
+                order += group
+                parts.append(np.array([*ids, mark[0]], "<u4"))
     flat = np.concatenate([*parts, np.zeros(0, "<u4")])
     cuts = np.flatnonzero(flat == mark[0])
     gaps = np.diff(cuts, prepend=-1) - 1
@@ -79,20 +80,23 @@ def pieces_of(texts: pa.Array, path: str, length: int, end_id: int = 0) -> dict[
     tok = cache.get(path) or cache.setdefault(path, Tokenizer.from_file(path))
     codes, words, first = split_words(texts)
     starts, sizes, flat = ids_of_words(tok, words)
-    each = sizes[codes]
-    stream = take_ragged(starts[codes], each, flat)
-    ends = np.concatenate([[0], np.cumsum(each)])[first]
     row, piece, start, size, crc = [], [], [], [], []
     close = np.array([end_id], "<u4").tobytes()
-    for i in range(len(first) - 1):
-        raw = stream[ends[i] : ends[i + 1]].tobytes() + close
-        for k, at in enumerate(range(0, len(raw) // 4, length)):
-            part = raw[4 * at : 4 * (at + length)]
-            row.append(i)
-            piece.append(k)
-            start.append(at)
-            size.append(len(part) // 4)
-            crc.append(zlib.crc32(part))
+    for at in range(0, len(first) - 1, 256):
+        edges = first[at : at + 257]
+        some = codes[edges[0] : edges[-1]]
+        each = sizes[some]
+        stream = take_ragged(starts[some], each, flat)
+        ends = np.concatenate([[0], np.cumsum(each)])[edges - edges[0]]
+        for i in range(len(edges) - 1):
+            raw = stream[ends[i] : ends[i + 1]].tobytes() + close
+            for k, begin in enumerate(range(0, len(raw) // 4, length)):
+                part = raw[4 * begin : 4 * (begin + length)]
+                row.append(at + i)
+                piece.append(k)
+                start.append(begin)
+                size.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
     return {
         "row": np.array(row, np.int64),
         "piece": np.array(piece, np.int32),
