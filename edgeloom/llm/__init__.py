@@ -4,6 +4,8 @@ import importlib
 
 MODULES = (
     "simhash",
+    "knn_join",
+    "ann",
     "secret_scan",
     "mixing",
     "packing",
