@@ -295,11 +295,13 @@ def train(
 
 
 def smallest(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows of each language with the smallest ``order_key``; texts join only the chosen."""
-    order = Window.partitionBy("lang").orderBy("order_key", "doc_id", "text_key")
+    """About the first ``2 n`` hashes of each language by its count, cut to ``n``; texts join only the chosen."""
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
-    chosen = keyed.select("lang", "order_key", "doc_id", "text_key").withColumn("_r", F.row_number().over(order))
-    chosen = chosen.filter(f"_r <= {n}").select("lang", "doc_id", "text_key").distinct()
+    share = (F.col("order_key") / F.lit(2.0**64)) + 0.5  # the hash as a number from 0 to 1
+    totals = rows.groupBy("lang").agg(F.count("*").alias("total"))
+    few = keyed.select("lang", "order_key", "doc_id", "text_key").join(F.broadcast(totals), "lang").filter(share * F.col("total") < 2 * n)
+    order = Window.partitionBy("lang").orderBy("order_key", "doc_id", "text_key")
+    chosen = few.withColumn("_r", F.row_number().over(order)).filter(f"_r <= {n}").select("lang", "doc_id", "text_key").distinct()
     return keyed.join(F.broadcast(chosen), ["lang", "doc_id", "text_key"]).select("lang", "text")
 
 
