@@ -6,6 +6,7 @@ MODULES = (
     "simhash",
     "knn_join",
     "ann",
+    "chat",
     "secret_scan",
     "mixing",
     "packing",
