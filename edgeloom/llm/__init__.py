@@ -7,6 +7,7 @@ MODULES = (
     "knn_join",
     "ann",
     "chat",
+    "html_text",
     "secret_scan",
     "mixing",
     "packing",
