@@ -4,6 +4,7 @@ import importlib
 
 MODULES = (
     "simhash",
+    "suffix_dedup",
     "knn_join",
     "ann",
     "chat",
