@@ -68,14 +68,14 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{checkpoint_folder(spark)}/llm-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.kept = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back: no lineage, true sizes, column pruning."""
-        path = f"{self.root}/{len(self.paths)}"
+        path = f"{self.root}/{self.kept}"
+        self.kept += 1
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 

@@ -411,8 +411,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class of near copies the document with the smallest doc_id stays.
 
-    A null text counts as empty, and empty texts are copies of each other. Of
-    equal rows one stays. A null doc_id comes after every other.
+    Texts without a word, null ones too, are copies of each other. Of equal rows
+    one stays. A null doc_id comes after every other.
     """
     scratch = Scratch(settle(spark))
     found = scratch.keep(near_duplicates(docs, scratch))
