@@ -31,8 +31,9 @@ from edgeloom.llm.common import (
 ORDER = 4
 #: Hashed n-grams keep this many bits, so a model has at most languages × order × 2^KEY_BITS entries.
 KEY_BITS = 21
-#: Rows a language gives to calibration, the smallest hashes first.
-CALIBRATION_ROWS = 500
+#: Every so many training rows one is not counted but calibrates; of a language at most
+#: CALIBRATION_ROWS do, the smallest hashes first.
+CALIBRATE_EVERY, CALIBRATION_ROWS = 10, 500
 #: A text is rejected this many deviations above the cross-entropy of its language's calibration rows.
 REJECT_Z = 16.0
 UNKNOWN = "und"
@@ -262,7 +263,7 @@ def calibrate(model: Model, texts: pa.Array, langs: list[str]) -> None:
         if len(mine):
             model.mean[i] = np.median(mine)
             around = (mine - model.mean[i]) / np.sqrt(1 + 200 / n[enough & (truth == i)])
-            model.spread[i] = max(float(np.sqrt(np.mean(around**2))), 0.02)
+            model.spread[i] = max(float(np.sqrt(np.mean(around**2))), 0.03 * model.mean[i])
     loss = []
     steps = [2.0**i for i in range(-2, 9)]
     for sharp in steps:
@@ -276,18 +277,20 @@ def train(
 ) -> Model | None:
     """A model from ``rows(text, lang, order_key)``; None when there is no labelled text.
 
-    All rows are counted. Only the calibration reads a bounded number of rows
-    of each language, the smallest ``order_key`` first.
+    All rows are counted but every CALIBRATE_EVERY-th by hash: of those a
+    bounded number per language calibrates the rejection on texts the counts
+    have not seen. A language without such rows rejects nothing.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark)
-    counts = scratch.keep(count_grams(rows.select("text", "lang"), order, bits))
+    apart = F.pmod(F.col("order_key"), F.lit(CALIBRATE_EVERY)) == 0
+    counts = scratch.keep(count_grams(rows.filter(~apart).select("text", "lang"), order, bits))
     table = kneser_ney(counts, order, bits).toPandas()
     if table.empty:
         return None
     langs = sorted(table["lang"].unique())
     model = build(table, langs, order, bits)
-    sample = smallest(rows, calibration_rows).toArrow()
+    sample = smallest(rows.filter(apart & F.col("lang").isin(langs)), calibration_rows).toArrow()
     texts = sample.column("text").combine_chunks()
     calibrate(model, texts, sample.column("lang").to_pylist())
     scratch.drop(counts)
