@@ -148,13 +148,13 @@ def survivors(spark, d):
     "K3_island_redistribute",
     f"""WITH {MEMBERS_SQL}, ranked AS (SELECT run, item, row_number() OVER (PARTITION BY run ORDER BY score, item) - 1 AS rank
           FROM (SELECT o_orderpriority AS run, c_custkey + 1000000000 AS item, sum(o_totalprice) AS score FROM orders JOIN customer ON o_custkey = c_custkey
-                GROUP BY ALL) QUALIFY rank < 100),
+                GROUP BY ALL)),
         both_s AS (SELECT run, (rank % 8)::INTEGER AS island, -rank - 1 AS ord, item FROM ranked
           UNION ALL SELECT run, island, slot, item FROM slots WHERE slot < 5)
         SELECT * FROM (SELECT run, island, item, row_number() OVER (PARTITION BY run, island ORDER BY ord) - 1 AS slot FROM both_s) WHERE slot < 5""",
 )
 def redistribute(spark, d):
-    """A top-100 batch of customers per run dealt over eight islands."""
+    """All customers of a run, by value, dealt over eight islands."""
     from pyspark.sql import Window
 
     totals = (
@@ -163,7 +163,7 @@ def redistribute(spark, d):
         .agg(F.sum("o_totalprice").alias("score"))
     )
     place = F.row_number().over(Window.partitionBy("run").orderBy("score", "item"))
-    ranked = totals.withColumn("rank", place).filter("rank <= 100").withColumn("rank", F.col("rank") - 1)
+    ranked = totals.withColumn("rank", place - 1)
     return A.island_redistribute(ranked, slots(spark, d), ["run"], 8).select("run", "island", "item", "slot")
 
 

@@ -115,7 +115,7 @@ def endpoint_entities(edges: DataFrame) -> DataFrame:
 def region_kg(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Entities and edges; the joined edges are written once, as every user scans them often."""
     edges = pin(region_edges(spark, d))
-    return endpoint_entities(edges), edges
+    return pin(endpoint_entities(edges)), edges
 
 
 FACTS_SQL = """

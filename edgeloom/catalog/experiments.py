@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from edgeloom.catalog.registry import query, rounded, table
-from edgeloom.functions.numeric import finite, safe_float, status_code
+from edgeloom.functions.numeric import finite, parsed_float, safe_float, status_code
 from edgeloom.operators import experiments as X
 from edgeloom.operators import logs as L
 from edgeloom.operators.statistics import T_975
@@ -475,21 +475,28 @@ def raw_statuses(spark, d):
 
 @query(
     "P10_status_parse",
-    f"""WITH {RAW_SQL} SELECT event_id, CASE lower(trim(s)) WHEN 'true' THEN 1 WHEN 'false' THEN 0
-        ELSE CASE WHEN regexp_matches(trim(s), '^[+-]?[0-9]+$') THEN trim(s)::INTEGER ELSE 1 END END AS code FROM raw""",
+    f"""WITH {RAW_SQL} SELECT event_id, CASE WHEN regexp_matches(trim(s), '^[+-]?[0-9]+$') THEN trim(s)::BIGINT ELSE 1 END AS code,
+        coalesce((event_id % 2 = 0)::BIGINT, 1) AS flag_code, event_id * 1000 AS int_code FROM raw""",
 )
 def statuses(spark, d):
-    return raw_statuses(spark, d).select("event_id", status_code(F.col("s")).alias("code"))
+    """Codes from text, from real booleans and from integers."""
+    raw = raw_statuses(spark, d).withColumn("flag", F.col("event_id") % 2 == 0).withColumn("number", F.col("event_id") * 1000)
+    return raw.select("event_id", status_code(raw, "s").alias("code"), status_code(raw, "flag").alias("flag_code"),
+                      status_code(raw, "number").alias("int_code"))
 
 
 @query(
     "P11_safe_numeric",
     rounded(
-        "value, zeroed",
+        "value, zeroed, typed",
         f"""WITH {RAW_SQL} SELECT event_id, CASE WHEN lower(s) NOT IN ('true', 'false') THEN try_cast(trim(s) AS DOUBLE) END AS value,
-            coalesce(CASE WHEN lower(s) NOT IN ('true', 'false') THEN try_cast(trim(s) AS DOUBLE) END, 0) AS zeroed FROM raw""",
+            coalesce(CASE WHEN lower(s) NOT IN ('true', 'false') THEN try_cast(trim(s) AS DOUBLE) END, 0) AS zeroed,
+            event_id::DOUBLE AS typed, NULL::DOUBLE AS typed_text FROM raw""",
     ),
 )
 def numerics(spark, d):
-    value = safe_float(F.col("s"))
-    return raw_statuses(spark, d).select("event_id", value.alias("value"), finite(value).alias("zeroed"))
+    """Text read as numbers, and the typed rule, by which text is never one."""
+    raw = raw_statuses(spark, d)
+    value = parsed_float(F.col("s"))
+    return raw.select("event_id", value.alias("value"), finite(value).alias("zeroed"),
+                      safe_float(raw, "event_id").alias("typed"), safe_float(raw, "s").alias("typed_text"))

@@ -216,7 +216,7 @@ def calibration(spark, d):
     from edgeloom.catalog.derive import region_kg
 
     entities, edges = region_kg(spark, d)
-    return calibration_gate(edges, pin(entities), ["domain"], replicates=2)
+    return calibration_gate(edges, entities, ["domain"], replicates=2)
 
 
 @query("L15_metrics_table")
@@ -227,4 +227,4 @@ def metrics(spark, d):
     from edgeloom.plans.calibration import metrics_table
 
     entities, edges = region_kg(spark, d)
-    return metrics_table(edges, pin(entities), supplier_proposals(spark, d), ["domain"], dim=8, epochs=1, negatives=1)
+    return metrics_table(edges, entities, supplier_proposals(spark, d), ["domain"], dim=8, epochs=1, negatives=1)

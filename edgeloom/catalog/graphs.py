@@ -9,6 +9,7 @@ from edgeloom.catalog.registry import query, rounded
 from edgeloom.operators import structure as S
 from edgeloom.operators.components import connected_components
 from edgeloom.operators.triangles import directed_triangles
+from edgeloom.session import pin
 from edgeloom.sources.kg import integrity_violations, map_relations
 
 KEYS = ["domain"]
@@ -146,7 +147,7 @@ def entropy(spark, d):
     rounded("spanning_fraction", with_kg("SELECT * FROM span", f"{LINKS}, {SPAN}")),
 )
 def spanning(spark, d):
-    return S.spanning_fraction(region_edges(spark, d), KEYS)
+    return S.spanning_fraction(pin(region_edges(spark, d)), KEYS)
 
 
 @query(
@@ -170,7 +171,7 @@ def components(spark, d):
     ),
 )
 def compressibility(spark, d):
-    return S.compressibility(region_edges(spark, d), KEYS)
+    return S.compressibility(pin(region_edges(spark, d)), KEYS)
 
 
 @query(
@@ -181,7 +182,7 @@ def compressibility(spark, d):
     ),
 )
 def triangle_coherence(spark, d):
-    return S.triangle_coherence(region_edges(spark, d), KEYS)
+    return S.triangle_coherence(pin(region_edges(spark, d)), KEYS)
 
 
 @query(
@@ -203,7 +204,7 @@ def contradiction_free(spark, d):
     rounded("coherence", with_kg("SELECT domain, coherence FROM coh", f"{PAIRS}, {COH}")),
 )
 def coherence(spark, d):
-    return S.coherence(region_edges(spark, d), KEYS)
+    return S.coherence(pin(region_edges(spark, d)), KEYS)
 
 
 @query(

@@ -247,7 +247,7 @@ def class_counts(spark, d):
 
 def scored(spark, d, **kw):
     entities, edges = region_kg(spark, d)
-    return score_batch(pin(entities), edges, supplier_proposals(spark, d), NO_MODEL, **kw)
+    return score_batch(entities, edges, supplier_proposals(spark, d), NO_MODEL, **kw)
 
 
 # SQL rescores one full graph copy per proposal: fine for the smallest scale,
@@ -354,7 +354,7 @@ valued AS (SELECT a.domain, (a.score - b.score - 0.1 * coalesce(n, 0) / n_edges)
 def valued(spark, d):
     """Value (in thousandths) of inserting every usable edge proposal at once."""
     entities, edges = region_kg(spark, d)
-    entities = pin(entities)
+    entities = entities
     after_edges = pin(M.apply_proposals_bulk(entities, edges, supplier_proposals(spark, d), KEYS))
     before = C.composite_score(edges, entities, KEYS, NO_MODEL)
     after = C.composite_score(after_edges, entities, KEYS, NO_MODEL)
@@ -382,7 +382,7 @@ GRID_SQL = "wgrid(w_id, a, b) AS (VALUES (0, .3, .1), (1, .3, .3), (2, .5, .1),
 def weight_grid(spark, d):
     """The grid with generativity off, next to the frequency baseline."""
     entities, edges = region_kg(spark, d)
-    entities = pin(entities)
+    entities = entities
     parts = C.score_parts(edges, entities, KEYS, C.Weights(0.25, 0.25, 0.25, 0.0, 0.1))
     grid = [(a, b, c, 0.0, 0.0) for a, b, c, _ in C.WEIGHT_GRID]
     return C.weight_sweep(parts, grid).select("domain", "w_id", "score", "frequency")
@@ -404,7 +404,7 @@ EPSILONS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3)
 )
 def epsilon_sweep(spark, d):
     entities, edges = region_kg(spark, d)
-    entities = pin(entities)
+    entities = entities
     parts = C.score_parts(edges, entities, KEYS, C.Weights(0.25, 0.25, 0.25, 0.0, 0.1))
     rows = [(0.25, 0.25, 0.25, 0.0, e) for e in EPSILONS]
     return C.weight_sweep(parts, rows).select("domain", "w_id", "score")
@@ -427,9 +427,9 @@ _late_sql()
         """SELECT d.domain, 'random-'||d.domain||'-'||i AS id, 'add_edge' AS proposal_type, a.id AS source_entity, b.id AS target_entity,
           ['DEPENDS_ON','DERIVES','EQUIVALENT_TO','MAPS_TO','EXPLAINS','CONTRADICTS','GENERALIZES'][t + 1] AS edge_type
           FROM (SELECT *, second + CASE WHEN second >= first THEN 1 ELSE 0 END AS other FROM (SELECT domain, i,
-            ('0x'||substr(md5(concat_ws('|', '42', 'source', domain, i)), 1, 8))::BIGINT % m + 1 AS first,
-            ('0x'||substr(md5(concat_ws('|', '42', 'target', domain, i)), 1, 8))::BIGINT % (m - 1) + 1 AS second,
-            ('0x'||substr(md5(concat_ws('|', '42', 'type', domain, i)), 1, 8))::BIGINT % 7 AS t
+            ('0x'||substr(md5(concat_ws('|', '42', 'source', domain, i)), 1, 15))::BIGINT % m + 1 AS first,
+            ('0x'||substr(md5(concat_ws('|', '42', 'target', domain, i)), 1, 15))::BIGINT % (m - 1) + 1 AS second,
+            ('0x'||substr(md5(concat_ws('|', '42', 'type', domain, i)), 1, 15))::BIGINT % 7 AS t
             FROM (SELECT domain, count(*) AS m FROM entities GROUP BY domain), range(1, 201) r(i))) d
           JOIN num a ON a.domain = d.domain AND a.idx = d.first JOIN num b ON b.domain = d.domain AND b.idx = d.other""",
         "num AS (SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY md5(concat_ws('|', '42', domain, id))) AS idx FROM entities)",

@@ -43,7 +43,7 @@ def intervals(spark, d):
 REPS = 20
 
 DRAWS = """num AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY md5(concat_ws('|', '42', {k}, {i}))) AS pos, count(*) OVER (PARTITION BY {k}) AS n FROM {t}),
-drawn AS (SELECT {k}, rep, ('0x' || substr(md5(concat_ws('|', '42', {k}, rep, pos)), 1, 8))::BIGINT % n + 1 AS pos FROM num, range(1, {r} + 1) g(rep)),
+drawn AS (SELECT {k}, rep, ('0x' || substr(md5(concat_ws('|', '42', {k}, rep, pos)), 1, 15))::BIGINT % n + 1 AS pos FROM num, range(1, {r} + 1) g(rep)),
 boot AS (SELECT num.*, drawn.rep FROM drawn JOIN num USING ({k}, pos))"""
 
 
@@ -193,11 +193,11 @@ def delta_correlation(spark, d):
 def ablation(spark, d):
     """Full and leave-one-out scores over edge-resampled region graphs."""
     entities, edges = region_kg(spark, d)
-    return RS.bootstrap_ablation(edges, pin(entities), ["domain"], replicates=2)
+    return RS.bootstrap_ablation(edges, entities, ["domain"], replicates=2)
 
 
 @query("B7_component_ci")
 def component_ci(spark, d):
     """Component table with intervals over seeds for the sampled component."""
     entities, edges = region_kg(spark, d)
-    return RS.component_ci(edges, pin(entities), ["domain"], seeds=(42, 43), replicates=200, dim=8, epochs=1)
+    return RS.component_ci(edges, entities, ["domain"], seeds=(42, 43), replicates=200, dim=8, epochs=1)

@@ -84,25 +84,30 @@ def testability(spark, d):
     return docs(spark, d).groupBy("lang").agg(F.avg((score >= 0.4).cast("double")).alias("fraction"))
 
 
-REPLY_SQL = """replies AS (SELECT conv_id, turn, CASE (conv_id + turn) % 4
-   WHEN 0 THEN text || ' ```json {"novelty": ' || turn % 7 || ', "depth": 3} ``` end'
+REPLY_SQL = """replies AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5
+   WHEN 0 THEN text || ' ```json {"novelty": ' || turn % 7 || ', "' || CASE WHEN turn % 2 = 0 THEN 'depth' ELSE 'width' END || '": 3} ``` end'
    WHEN 1 THEN text || ' {not json} {"novelty": ' || turn % 5 + 1 || ', "depth": {"x": 1}}'
-   WHEN 2 THEN text ELSE '```json {broken} ```' || text || ' {"novelty": 2}' END AS reply FROM conversations),
-found AS (SELECT conv_id, turn, CASE WHEN fenced <> '' AND json_valid(fenced) THEN fenced WHEN json_valid(loose) THEN loose END AS j FROM (
-  SELECT *, regexp_extract(reply, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1) AS fenced, regexp_extract(reply, '(?s)\\{".*\\}', 0) AS loose FROM replies))"""
+   WHEN 2 THEN text WHEN 3 THEN '```json {broken} ```' || text || ' {"novelty": 2}'
+   ELSE text || ' {"novelty": ' || turn % 6 || '.5, "depth": ' || turn % 3 + 1 || '}' END AS reply FROM conversations),
+found AS (SELECT conv_id, turn, reply, CASE WHEN json_valid(fenced) THEN fenced WHEN json_valid(loose) THEN loose END AS j FROM (
+  SELECT *, trim(regexp_replace(string_split(reply, '```')[2], '^json', '')) AS fenced, regexp_extract(reply, '(?s)\\{".*\\}', 0) AS loose FROM replies)),
+flat AS (SELECT conv_id, turn, CASE WHEN json_valid(f) THEN f END AS j FROM (
+  SELECT conv_id, turn, nullif(regexp_extract(reply, '\\{[^{}]*\\}', 0), '') AS f FROM replies))"""
 
 
 def replies(spark, d):
     """Conversation turns with a model answer appended, fenced, inline, broken or absent."""
-    kind = (F.col("conv_id") + F.col("turn")) % 4
+    kind = (F.col("conv_id") + F.col("turn")) % 5
     text = F.col("text")
     n = F.col("turn")
+    second = F.when(n % 2 == 0, "depth").otherwise("width")
     return table(spark, d, "conversations").select(
         "conv_id", "turn",
-        F.when(kind == 0, F.concat(text, F.lit(' ```json {"novelty": '), n % 7, F.lit(', "depth": 3} ``` end')))
+        F.when(kind == 0, F.concat(text, F.lit(' ```json {"novelty": '), n % 7, F.lit(', "'), second, F.lit('": 3} ``` end')))
         .when(kind == 1, F.concat(text, F.lit(' {not json} {"novelty": '), n % 5 + 1, F.lit(', "depth": {"x": 1}}')))
         .when(kind == 2, text)
-        .otherwise(F.concat(F.lit("```json {broken} ```"), text, F.lit(' {"novelty": 2}'))).alias("reply"),
+        .when(kind == 3, F.concat(F.lit("```json {broken} ```"), text, F.lit(' {"novelty": 2}')))
+        .otherwise(F.concat(text, F.lit(' {"novelty": '), n % 6, F.lit('.5, "depth": '), n % 3 + 1, F.lit("}"))).alias("reply"),
     )
 
 
@@ -113,13 +118,13 @@ def extraction(spark, d):
 
 @query(
     "T5_parse_scores",
-    f"""WITH {REPLY_SQL}, s AS (SELECT *, try_cast(j ->> '$.novelty' AS DOUBLE) AS a, try_cast(j ->> '$.depth' AS DOUBLE) AS b FROM found),
+    f"""WITH {REPLY_SQL}, s AS (SELECT *, trunc(try_cast(j ->> '$.novelty' AS DOUBLE)) AS a, trunc(try_cast(j ->> '$.depth' AS DOUBLE)) AS b FROM flat),
         e AS (SELECT *, CASE WHEN j IS NULL THEN 'no_json' WHEN a IS NULL OR b IS NULL THEN 'missing:' || concat_ws(',', CASE WHEN a IS NULL THEN 'novelty' END, CASE WHEN b IS NULL THEN 'depth' END)
           WHEN a NOT BETWEEN 1 AND 5 OR b NOT BETWEEN 1 AND 5 THEN 'range:' || concat_ws(',', CASE WHEN a NOT BETWEEN 1 AND 5 THEN 'novelty' END, CASE WHEN b NOT BETWEEN 1 AND 5 THEN 'depth' END) END AS error FROM s)
         SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN a::INTEGER END AS novelty, CASE WHEN error IS NULL THEN b::INTEGER END AS depth FROM e""",
 )
 def scores(spark, d):
-    found = T.extract_json(replies(spark, d), "reply")
+    found = replies(spark, d).withColumn("json", T.flat_object(F.col("reply")))
     return T.parse_scores(found, "json", ["novelty", "depth"]).select("conv_id", "turn", "error", "novelty", "depth")
 
 

@@ -23,8 +23,8 @@ def text_hash(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
 
 
-def hash_int(hexcol: Column | str, digits: int = 8) -> Column:
-    """The leading hex digits of a hash as a non-negative integer."""
+def hash_int(hexcol: Column | str, digits: int = 15) -> Column:
+    """The leading hex digits of a hash as a non-negative integer, 60 bits by default."""
     col = F.col(hexcol) if isinstance(hexcol, str) else hexcol
     return F.conv(F.substring(col, 1, digits), 16, 10).cast("long")
 

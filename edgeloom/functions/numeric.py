@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
 
@@ -61,16 +61,25 @@ def harmonic_number(n: Column) -> Column:
     return F.when(n < 32, small).otherwise(series)
 
 
-def safe_float(col: Column) -> Column:
-    """A numeric string as double, anything else null."""
+def parsed_float(col: Column) -> Column:
+    """A number, or text that reads as one, as double; anything else null."""
     return col.try_cast("double")
 
 
-def status_code(col: Column, default: int = 1) -> Column:
-    """Booleans and integer strings as int, everything else ``default``."""
-    text = F.lower(F.trim(col.cast("string")))
-    return F.coalesce(
-        F.when(text == "true", 1).when(text == "false", 0),
-        F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int")),
-        F.lit(default),
-    )
+def safe_float(df: DataFrame, name: str) -> Column:
+    """A numeric column as double; text and booleans are no numbers, whatever they say."""
+    kind = df.schema[name].dataType
+    return F.col(name).cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
+
+
+def status_code(df: DataFrame, name: str, default: int = 1) -> Column:
+    """Booleans, integers and text of digits as a code; all else, the text "true" too, ``default``."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.BooleanType, T.IntegralType)):
+        code = F.col(name).cast("long")
+    elif isinstance(kind, T.StringType):
+        text = F.trim(F.col(name))
+        code = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
+    else:
+        code = F.lit(None).cast("long")
+    return F.coalesce(code, F.lit(default).cast("long"))

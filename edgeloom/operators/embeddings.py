@@ -139,7 +139,7 @@ def target_ranks(
     model: str,
     block: int = 4096,
 ) -> DataFrame:
-    """Exact unfiltered tail rank of every distinct triple among all entities.
+    """Exact unfiltered tail rank of every distinct triple among all entities; null without a vector.
 
     ``rank`` = 1 + higher-scoring targets + equal ones with a smaller id.  Cells
     of the grid hold at most about ``block`` queries and targets and return
@@ -183,10 +183,9 @@ def target_ranks(
         count_higher, schema
     )
     sizes = vectors.groupBy(*keys).agg(F.count("*").alias("n_entities"))
-    ranks = counted.groupBy(*named).agg(
-        F.first("w").alias("w"), (F.sum("higher") + 1).alias("rank")
-    )
-    return ranks.join(sizes, keys)
+    ranks = counted.groupBy(*named).agg((F.sum("higher") + 1).alias("rank"))
+    # Edges whose ends or type have no vector stay in the denominator of the metrics.
+    return weighted.join(ranks, named, "left").join(sizes, keys)
 
 
 def top_targets(

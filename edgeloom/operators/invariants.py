@@ -182,6 +182,8 @@ def distances(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) ->
         found = pin(found.withColumn("d", F.lit(step)))
         if found.isEmpty():
             break
+        if step == max_rounds:
+            raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
         rounds = found if rounds is None else rounds.unionByName(found)
     if rounds is None:
         rounds = sizes.select(*G, F.lit(0).cast("long").alias("hits"), F.lit(0).alias("d")).limit(0)

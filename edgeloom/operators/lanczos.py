@@ -34,7 +34,7 @@ def lanczos(links: DataFrame, nodes: DataFrame, matrix: str, steps: int, deflate
     ``nodes(graph_id, idx, deg)``; ``links`` holds both directions (x, y).
     ``deflate`` is a known null vector that is projected out of every step.
     """
-    start = hash_int(text_hash(*G, "idx")) / float(1 << 31) - 1.0
+    start = hash_int(text_hash(*G, "idx"), 8) / float(1 << 31) - 1.0
     base = nodes.withColumn("_k", deflate if deflate is not None else F.lit(0.0)).withColumn("q0", start)
 
     def project(df: DataFrame, col: str, names: list[str]) -> DataFrame:

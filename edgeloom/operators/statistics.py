@@ -145,7 +145,7 @@ def poisson_weight(u: Column) -> Column:
 def poisson_bootstrap_mean(rows: DataFrame, keys: Sequence[str], value: str, replicates: int, seed: int,
                            identity: Sequence[str]) -> DataFrame:
     """Weighted replicate means in one map-side-combined aggregation, for huge groups."""
-    u = hash_int(text_hash(F.lit(seed), *keys, "rep", *identity)) / float(1 << 32)
+    u = hash_int(text_hash(F.lit(seed), *keys, "rep", *identity)) / float(1 << 60)
     drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
         "_w", poisson_weight(u)
     )

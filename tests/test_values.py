@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from edgeloom.functions import numeric as N
 from edgeloom.functions import text as X
 from edgeloom.functions.keys import ordered_positions, hash_bucket, text_hash, expand_copies
 from edgeloom.operators import archive as A
@@ -145,43 +146,47 @@ def test_ordered_positions_and_copies(spark):
     assert sorted(out) == [("x", i) for i in range(1, 8)] + [("y", 1)]
 
 
-def simulate(valid, rule):
-    """Direct replay of both recovery rules."""
-    out, stagnation, span, mode = [], 0, 0, "free"
-    for ok in valid:
-        if rule == "reset":
-            if ok:
-                stagnation, span, mode = 0, 0, "free"
-            else:
-                stagnation += 1
-                if stagnation >= 5:
-                    mode, span = "constrained", span + 1
-                    if span >= 3:
-                        stagnation, span, mode = 0, 0, "free"
-        elif ok:
-            stagnation = 0
-            if mode == "constrained" and span <= 3:
-                mode, span = "free", 0
-        else:
-            stagnation += 1
-            if mode == "free" and stagnation >= 5:
-                mode, span = "constrained", 0
-            elif mode == "constrained":
-                span += 1
-        out.append(mode)
-    return out
+# v: a valid generation, x: an invalid one; below it f: free, c: constrained, worked out by hand.
+MODES = [
+    ("reset", "xxxxxxxx", "ffffccff"),  # the seventh in a row ends the span and starts over
+    ("reset", "xxxxxvxxxxx", "ffffcfffffc"),
+    ("reset", "vxxxxvxxxxxxx", "ffffffffffccf"),
+    ("lock", "xxxxxxxxv", "ffffccccf"),  # freed within the span
+    ("lock", "xxxxxxxxxvxv", "ffffcccccccc"),  # one generation too late: it stays
+    ("lock", "xxxxxvxxxxx", "ffffcfffffc"),
+    ("lock", "vvvv", "ffff"),
+]
 
 
 @pytest.mark.parametrize("rule", ["reset", "lock"])
-def test_stagnation_matches_replay(spark, rule):
-    rng = random.Random(11)
-    logs = {f"i{k}": [rng.random() < 0.13 for _ in range(80)] for k in range(6)}
-    rows = [(k, g, v) for k, vs in logs.items() for g, v in enumerate(vs)]
+def test_stagnation_modes_worked_by_hand(spark, rule):
+    logs = [(f"i{k}", made, want) for k, (r, made, want) in enumerate(MODES) if r == rule]
+    rows = [(k, g, c == "v") for k, made, _ in logs for g, c in enumerate(made)]
     turns = spark.createDataFrame(rows, "isl string, generation int, valid boolean")
     got = L.stagnation_mode(turns, ["isl"], F.floor(F.col("generation") / 7), rule).collect()
-    for k, vs in logs.items():
-        mine = [r["mode"] for r in sorted((r for r in got if r["isl"] == k), key=lambda r: r["generation"])]
-        assert mine == simulate(vs, rule)
+    for k, _, want in logs:
+        mine = [r["mode"][0] for r in sorted((r for r in got if r["isl"] == k), key=lambda r: r["generation"])]
+        assert "".join(mine) == want
+
+
+def test_status_and_numbers_follow_the_column_type(spark):
+    rows = [(1, "false", True, 7), (2, " 12 ", False, None), (3, "123456789012", None, 1), (4, "1.5", True, 2)]
+    df = spark.createDataFrame(rows, "i int, s string, b boolean, n long")
+    got = df.select(N.status_code(df, "s").alias("s"), N.status_code(df, "b").alias("b"), N.status_code(df, "n").alias("n"),
+                    N.safe_float(df, "s").alias("fs"), N.safe_float(df, "b").alias("fb"), N.safe_float(df, "n").alias("fn"),
+                    N.parsed_float(F.col("s")).alias("p")).collect()
+    assert [r["s"] for r in got] == [1, 12, 123456789012, 1]
+    assert [r["b"] for r in got] == [1, 0, 1, 1] and [r["n"] for r in got] == [7, 1, 1, 2]
+    assert {r["fs"] for r in got} == {r["fb"] for r in got} == {None}
+    assert [r["fn"] for r in got] == [7.0, None, 1.0, 2.0] and got[3]["p"] == 1.5
+
+
+def test_scores_are_cut_off_and_read_from_the_first_flat_braces(spark):
+    texts = ['{"a": 4.5, "b": 1}', '{not json} {"a": 1, "b": 2}', '{"a": 5.9}', '{"a": 0.9, "b": 6}', 'x {"k": {"a": 3, "b": 3}}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("j", X.flat_object(F.col("t")))
+    got = {r["i"]: (r["error"], r["a"], r["b"]) for r in X.parse_scores(df, "j", ["a", "b"]).collect()}
+    assert got == {0: (None, 4, 1), 1: ("no_json", None, None), 2: ("missing:b", None, None), 3: ("range:a,b", None, None),
+                   4: (None, 3, 3), 5: ("no_json", None, None)}
 
 
 def test_archive_ties_and_flags(spark):
