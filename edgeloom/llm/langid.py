@@ -90,27 +90,30 @@ def grams_of(texts: pa.Array, langs: list[str], order: int, bits: int) -> Iterat
     word_lang = np.repeat(row_lang, np.diff(first))
     weight = np.bincount(word_lang * len(words) + codes, minlength=len(names) * len(words)).reshape(len(names), -1)
     runs, owner, _ = letters(words)
-    for at in range(0, len(runs), 100_000):
-        part, own = runs[at : at + 100_000], owner[at : at + 100_000]
+    for at in range(0, len(runs), 40_000):
+        part, own = runs[at : at + 40_000], owner[at : at + 40_000]
         symbols, word, place = word_symbols(part)
-        keys = {k: gram_keys(symbols, k, bits) for k in range(0, order + 1)}
+        key = gram_keys(symbols, 0, bits)
         for k in range(1, order + 1):
+            shorter, key = key, gram_keys(symbols, k, bits)
             here = np.flatnonzero((place >= k - 1) & (place > 0))
-            ctx = np.zeros_like(keys[k])
-            ctx[1:] = keys[k - 1][:-1]
+            ctx = np.zeros_like(key)
+            ctx[1:] = shorter[:-1]
             head = (place[here] == k - 1).astype(np.int64)
-            both = (keys[k][here] << 1) | head
+            both = (key[here] << 1) | head
             distinct, sample, inverse = np.unique(both, return_index=True, return_inverse=True)
             at_gram = here[sample]
             for i, lang in enumerate(names):
                 n = np.bincount(inverse, weight[i][own[word[here]]], minlength=len(distinct)).astype(np.int64)
                 got = np.flatnonzero(n)
+                if not len(got):  # words without a letter only
+                    continue
                 yield {
                     "lang": [lang] * len(got),
                     "k": np.full(len(got), k, np.int32),
                     "key": distinct[got] >> 1,
                     "ctx": ctx[at_gram[got]] if k > 1 else np.zeros(len(got), np.int64),
-                    "suffix": keys[k - 1][at_gram[got]],
+                    "suffix": shorter[at_gram[got]],
                     "head": (distinct[got] & 1).astype(bool),
                     "n": n[got],
                 }
@@ -135,8 +138,8 @@ class Model:
     def word_costs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each run in each language, and its number of predicted symbols."""
         cost, size = np.zeros((len(runs), len(self.langs))), np.zeros(len(runs), np.int64)
-        for at in range(0, len(runs), 50_000):
-            codes, word, place = word_symbols(runs[at : at + 50_000])
+        for at in range(0, len(runs), 25_000):
+            codes, word, place = word_symbols(runs[at : at + 25_000])
             p = np.full((len(codes), len(self.langs)), 1.0 / self.symbols, np.float32)
             ctx = gram_keys(codes, 0, self.bits)
             for k in range(1, self.order + 1):
@@ -150,8 +153,8 @@ class Model:
             use = place > 0
             for j in range(len(self.langs)):
                 bits = -np.log2(np.maximum(p[use, j], 1e-12))
-                cost[at : at + 50_000, j] = np.bincount(word[use], bits, minlength=word[-1] + 1)
-            size[at : at + 50_000] = np.bincount(word[use], minlength=word[-1] + 1)
+                cost[at : at + 25_000, j] = np.bincount(word[use], bits, minlength=word[-1] + 1)
+            size[at : at + 25_000] = np.bincount(word[use], minlength=word[-1] + 1)
         return cost, size
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
