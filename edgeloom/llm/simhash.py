@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.keys import running_max
@@ -297,6 +297,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words in a shingle, words in a segment (about), segments of a document that are fingerprinted.
 NEAR_WORDS, SEGMENT_WORDS, SEGMENTS = 5, 24, 6
+#: Texts before it in a class that a text is compared with.
+NEIGHBOURS = 4
 SIMILARITY = 0.8
 
 
@@ -309,7 +311,8 @@ def segment_marks(text: str, size: int, words: int, most: int) -> tuple[np.ndarr
     h = shingle_hashes(text, size)
     if not len(h):
         return np.zeros(1, np.uint64), np.zeros(0, np.uint32)
-    begin = (h >> np.uint64(40)) % np.uint64(words) == 0
+    # A short text gets shorter segments, or a single edit could touch them all.
+    begin = (h >> np.uint64(40)) % np.uint64(words if len(h) >= 5 * words else words // 3) == 0
     begin[0] = True
     starts = np.flatnonzero(begin)
     marks = majority(h, starts)
@@ -361,8 +364,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
     shingles differ in about ten of 64 bits, too many for any tree to prune, so
     fingerprints are taken of segments: most segments of a near copy are
     untouched. Segments within two bits form a class; in each class a text is
-    compared with the class's first text and with its neighbour in an order that
-    brings copies together, which is linear whatever the size of the class.
+    compared with the class's first text and with those just before it in an
+    order that brings copies together: a fixed number of comparisons whatever
+    the size of the class. The order of a large class is cut by hash.
     Links are kept when the whole texts' shingle sets really are that similar.
     """
     raw = scratch.keep(near_marks(docs, text, doc_id, NEAR_WORDS))
@@ -385,13 +389,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
     shared = scratch.keep(size.filter("c > 1").select("class", "first"))
     lead = scratch.keep(held.groupBy("key").agg(F.min("class").alias("lead")))
     members = scratch.keep(held.join(shared, "class").join(lead, "key"))
-    order = F.struct("lead", "n", "key")
-    beside = running_max(
-        members, ["class"], ["lead", "n", "key"], F.shiftright(F.col("lead"), 58), order, "previous"
-    ).select("key", "n", F.explode(F.array(
-        F.struct(F.col("first.key").alias("key"), F.col("first.n").alias("n")),
-        F.struct(F.col("previous.key").alias("key"), F.col("previous.n").alias("n")),
-    )).alias("other"))
+    order, part = F.struct("lead", "n", "key"), F.shiftright(F.col("lead"), 58)
+    ordered = running_max(members, ["class"], ["lead", "n", "key"], part, order, "previous")
+    near = Window.partitionBy("class", part).orderBy("lead", "n", "key").rowsBetween(-NEIGHBOURS, -1)
+    known = F.array(F.struct("first.key", "first.n"), F.struct("previous.key", "previous.n"))
+    beside = ordered.withColumn("near", F.collect_list(F.struct("key", "n")).over(near)).select(
+        "key", "n", F.explode(F.concat(known, "near")).alias("other")
+    )
     pairs = scratch.keep(
         beside.filter("other.key <> key")
         .filter(F.least("n", "other.n") >= SIMILARITY * F.greatest("n", "other.n"))
