@@ -20,10 +20,9 @@ from edgeloom.session import pin
 
 G = ["graph_id"]
 
-# Dense solvers get one graph per group, so the group size must be bounded;
-# larger graphs take the distributed Lanczos path.
-DENSE_LIMIT = 1500
-LANCZOS_STEPS = 60
+# Spectra are for corpora of many ordinary graphs: each is solved whole in one
+# task, so a graph beyond this many nodes (three matrices of 128 MB) is an error.
+MOST_NODES = 4096
 
 BASE_FEATURES = (
     "density", "avg_degree", "max_degree", "min_degree", "std_degree", "avg_clustering",
@@ -211,6 +210,8 @@ def path_targets(dist: DataFrame) -> DataFrame:
 def _dense_spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
     """All spectral values of one bounded graph from its dense matrices."""
     n = int(pdf["n"].iloc[0])
+    if n > MOST_NODES:
+        raise ValueError(f"graph {pdf['graph_id'].iloc[0]!r} has {n} nodes; spectra are limited to {MOST_NODES}")
     a = np.zeros((n, n))
     ends = pdf.dropna(subset=["u", "v"])
     if len(ends):
@@ -237,26 +238,17 @@ def _dense_spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
 SPECTRUM = ("spectral_radius", *SPECTRAL_FEATURES)
 
 
-def spectra(nodes: DataFrame, edges: DataFrame, dense_limit: int = DENSE_LIMIT) -> DataFrame:
-    """Spectral radius and Laplacian values of every graph.
+def spectra(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Spectral radius and Laplacian values of every graph, by one exact method at every size.
 
-    Graphs up to ``dense_limit`` nodes are solved one per group; larger ones by
-    Lanczos steps spread over the cluster, so no graph must fit one task.
+    A graph of more than ``MOST_NODES`` nodes raises an error.
     """
     pairs = simple_pairs(edges)
     num, links = relabel(nodes, pairs.select(*G, F.col("a").alias("u"), F.col("b").alias("v")))
     sizes = num.groupBy(*G).agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") <= dense_limit)
     id_type = dict(nodes.dtypes)["graph_id"]
     schema = f"graph_id {id_type}, " + ", ".join(f"{c} double" for c in SPECTRUM)
-    rows = small.join(links, G, "left").select(*G, "n", "u", "v")
-    out = rows.groupBy(*G).applyInPandas(_dense_spectrum, schema)
-    large = pin(sizes.filter(F.col("n") > dense_limit))
-    if large.isEmpty():
-        return out
-    from edgeloom.operators.lanczos import large_spectra
-
-    return out.unionByName(large_spectra(num, links, large).select(out.columns))
+    return sizes.join(links, G, "left").select(*G, "n", "u", "v").groupBy(*G).applyInPandas(_dense_spectrum, schema)
 
 
 def invariant_matrix(nodes: DataFrame, edges: DataFrame, spectral: bool = True) -> DataFrame:

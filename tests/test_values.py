@@ -56,19 +56,19 @@ def test_paths(corpus):
     assert rows["split"]["average_shortest_path_length"] == 0 and rows["single"]["diameter"] == 0
 
 
-def test_lanczos_equals_dense(spark):
-    edges = [(i, i + 1) for i in range(11)] + [(0, 5), (2, 9), (3, 7)]
-    nodes = spark.createDataFrame([("g", f"v{i}") for i in range(12)], "graph_id string, v string")
-    df = spark.createDataFrame([("g", f"v{a}", f"v{b}") for a, b in edges], "graph_id string, u string, v string")
-    dense = I.spectra(nodes, df).first()
-    from edgeloom.operators.lanczos import large_spectra
-
-    pairs = I.simple_pairs(df)
-    num, links = I.relabel(nodes, pairs.select("graph_id", F.col("a").alias("u"), F.col("b").alias("v")))
-    large = num.groupBy("graph_id").agg(F.count("*").alias("n"))
-    sparse = large_spectra(num, links, large, steps=11).first()
-    for name in I.SPECTRUM:
-        assert sparse[name] == pytest.approx(dense[name], abs=1e-6), name
+def test_spectra_have_one_method_and_a_limit(spark):
+    n = 2000
+    rows = {"path": [(i, i + 1) for i in range(n - 1)], "star": [(0, i) for i in range(1, n)]}
+    nodes = spark.createDataFrame([(g, f"v{i}") for g in rows for i in range(n)], "graph_id string, v string")
+    edges = spark.createDataFrame([(g, f"v{a}", f"v{b}") for g, e in rows.items() for a, b in e], "graph_id string, u string, v string")
+    got = {r["graph_id"]: r for r in I.spectra(nodes, edges).collect()}
+    assert got["path"]["algebraic_connectivity"] == pytest.approx(2 - 2 * math.cos(math.pi / n), abs=1e-9)
+    assert got["path"]["spectral_radius"] == pytest.approx(2 * math.cos(math.pi / (n + 1)), abs=1e-9)
+    assert got["star"]["laplacian_max"] == pytest.approx(n) and got["star"]["algebraic_connectivity"] == pytest.approx(1)
+    assert got["star"]["laplacian_energy_ratio"] == pytest.approx((n + 4) / (2 * (n - 1)))
+    large = spark.range(I.MOST_NODES + 1).select(F.lit("g").alias("graph_id"), F.col("id").cast("string").alias("v"))
+    with pytest.raises(Exception, match="limited to"):
+        I.spectra(large, edges.limit(0)).collect()
 
 
 @pytest.mark.parametrize("model", E.MODELS)
