@@ -37,8 +37,8 @@ def settle(spark: SparkSession) -> SparkSession:
     """
     tune(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(12 << 20))
     return spark
 
 
