@@ -4,8 +4,10 @@ Queries and data are grouped by their nearest pivot. What a query group needs
 follows from summaries alone: with a query within R of its pivot p and a row o,
 ``|q·o − p·o| ≤ R·|o|``. The rows nearest each pivot give every query group a
 score that k of its candidates certainly reach; a row goes to a query group
-only if its upper bound reaches that. Groups are cut into bounded blocks, so a
-group that holds a third of the rows is spread like the others.
+only if its upper bound reaches that. Queries far from every pivot cannot be
+bounded and would spoil their group's radius: they form one group around the
+origin. Groups are cut into bounded blocks, so a group that holds a third of
+the rows is spread like the others.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ K = 5
 SCALE = 256
 #: Pivots grow with the square root of the rows, up to this many.
 MOST_PIVOTS = 256
+#: A query is near its pivot within this share of the pivot's norm.
+NEAR = 0.25
 #: Queries and rows that meet in one task.
 QUERY_BLOCK, ROW_BLOCK = 512, 8192
 
@@ -63,32 +67,41 @@ def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grouped(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``(vec_id, v, grp, dist)`` with the nearest pivot and the distance to it."""
+    """``(vec_id, v, grp, dist, asks_in, reach)``: the nearest pivot and the distance to it; as a
+    query, the group and the distance to its centre (the origin's group is the one after the pivots)."""
+    norms = np.linalg.norm(pivots, axis=1)
     kind = rows.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group, dist = nearest(quantised(matrix(batch.column(1))), pivots)
+            x = quantised(matrix(batch.column(1)))
+            group, dist = nearest(x, pivots)
+            near = dist <= NEAR * norms[group]
+            asks_in = np.where(near, group, len(pivots)).astype(np.int32)
+            reach = np.where(near, dist, np.linalg.norm(x, axis=1))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(group.astype(np.int32)), pa.array(dist)], names=["vec_id", "v", "grp", "dist"]
+                [*batch.columns, pa.array(group.astype(np.int32)), pa.array(dist), pa.array(asks_in), pa.array(reach)],
+                names=["vec_id", "v", "grp", "dist", "asks_in", "reach"],
             )
 
-    return rows.select("vec_id", "v").mapInArrow(run, f"vec_id long, v {kind}, grp int, dist double")
+    return rows.select("vec_id", "v").mapInArrow(
+        run, f"vec_id long, v {kind}, grp int, dist double, asks_in int, reach double"
+    )
 
 
-def floors(pivots: np.ndarray, radius: np.ndarray, near: list[tuple[int, float]], k: int) -> np.ndarray:
-    """A score that at least k candidates of any query of each group reach.
+def floors(centres: np.ndarray, radius: np.ndarray, near: list[tuple[int, float]], k: int) -> np.ndarray:
+    """A score that at least k candidates of any query of each group reach; ``radius`` is around ``centres``.
 
     ``near`` holds, for the k + 1 rows nearest each pivot, the group and the
     distance; one of them may be the query itself.
     """
-    out = np.full(len(pivots), -np.inf)
+    out = np.full(len(centres), -np.inf)
     if len(near) <= k:
         return out
     j, d = np.array([g for g, _ in near]), np.array([x for _, x in near])
-    norms = np.linalg.norm(pivots, axis=1)
-    for i in range(len(pivots)):
-        low = pivots[j] @ pivots[i] - norms[i] * d - radius[i] * (norms[j] + d)
+    norms = np.linalg.norm(centres, axis=1)
+    for i in range(len(centres)):
+        low = centres[j] @ centres[i] - norms[i] * d - radius[i] * (norms[j] + d)
         out[i] = np.sort(low)[-(k + 1)] - 1e-6 * (1 + abs(norms[i]) * norms.max())
     return out
 
@@ -111,17 +124,19 @@ def knn_join(table: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
     data = scratch.keep(grouped(rows, pivots))
     asked = F.col("vec_id") % step == 0
     # Summaries: bounded by the number of pivots.
-    summary = {r["grp"]: r for r in data.filter(asked).groupBy("grp").agg(F.max("dist").alias("r"), F.count("*").alias("n")).collect()}
+    asking = data.filter(asked).groupBy("asks_in").agg(F.max("reach").alias("r"), F.count("*").alias("n"))
+    summary = {r["asks_in"]: r for r in asking.collect()}
+    centres = np.concatenate([pivots, np.zeros((1, pivots.shape[1]))])
     ranked = data.select("grp", "dist", "vec_id").withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy("dist", "vec_id")))
     near = [(r["grp"], r["dist"]) for r in ranked.filter(f"_r <= {k + 1}").collect()]
-    radius = np.array([summary[g]["r"] if g in summary else 0.0 for g in range(len(pivots))])
-    blocks = np.array([-(-summary[g]["n"] // QUERY_BLOCK) if g in summary else 0 for g in range(len(pivots))])
-    floor = floors(pivots, radius, near, k)
+    radius = np.array([summary[g]["r"] if g in summary else 0.0 for g in range(len(centres))])
+    blocks = np.array([-(-summary[g]["n"] // QUERY_BLOCK) if g in summary else 0 for g in range(len(centres))])
+    floor = floors(centres, radius, near, k)
     slices = max(1, -(-total // ROW_BLOCK))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, groups = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            ids, groups = batch.column(0).to_numpy(), batch.column(4).to_numpy()
             x = quantised(matrix(batch.column(1)))
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             row, grp, block, part, role = [], [], [], [], []
@@ -133,7 +148,7 @@ def knn_join(table: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
                 block.append(np.repeat(mixed[own] % np.uint64(blocks[g]), slices).astype(np.int64))
                 part.append(np.tile(np.arange(slices), len(own)))
                 role.append(np.ones(len(own) * slices, bool))
-            upper = x @ pivots.T + np.linalg.norm(x, axis=1)[:, None] * radius[None, :]
+            upper = x @ centres.T + np.linalg.norm(x, axis=1)[:, None] * radius[None, :]
             for g in np.flatnonzero(blocks):  # a row goes to the blocks that may need it
                 own = np.flatnonzero(upper[:, g] * (1 + 1e-12) + 1e-6 >= floor[g])
                 n = blocks[g]
