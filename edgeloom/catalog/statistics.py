@@ -40,7 +40,7 @@ def intervals(spark, d):
     return B.mean_std_ci95(rows, ["grp", "part"], "o_totalprice")
 
 
-REPS = 20
+REPS = 200
 
 DRAWS = """num AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY md5(concat_ws('|', '42', {k}, {i}))) AS pos, count(*) OVER (PARTITION BY {k}) AS n FROM {t}),
 drawn AS (SELECT {k}, rep, ('0x' || substr(md5(concat_ws('|', '42', {k}, rep, pos)), 1, 15))::BIGINT % n + 1 AS pos FROM num, range(1, {r} + 1) g(rep)),
@@ -69,7 +69,7 @@ def resample(spark, d):
     "B3_paired_bootstrap_ci",
     rounded(
         "mean_diff, ci_low, ci_high, p_value",
-        f"""WITH {PAIRED_SQL}, src AS (SELECT domain, seed, a - b AS d FROM pa), {DRAWS.format(k='domain', i='seed', t='src', r=1000)},
+        f"""WITH {PAIRED_SQL}, src AS (SELECT domain, seed, a - b AS d FROM pa), {DRAWS.format(k='domain', i='seed', t='src', r=2000)},
             means AS (SELECT domain, rep, avg(d) AS m FROM boot GROUP BY ALL), obs AS (SELECT domain, avg(d) AS mean_diff FROM src GROUP BY domain)
             SELECT domain, any_value(mean_diff) AS mean_diff, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high,
               least(1.0, CASE WHEN any_value(mean_diff) > 0 THEN 2 * avg((m <= 0)::INTEGER) WHEN any_value(mean_diff) < 0 THEN 2 * avg((m >= 0)::INTEGER) ELSE 1 END) AS p_value
@@ -77,7 +77,7 @@ def resample(spark, d):
     ),
 )
 def paired_ci(spark, d):
-    return B.paired_bootstrap_ci(pin(paired(spark, d)), ["domain"], "a", "b", ["seed"], replicates=1000)
+    return B.paired_bootstrap_ci(pin(paired(spark, d)), ["domain"], "a", "b", ["seed"], replicates=2000)
 
 
 GROUPS_SQL = "gs AS (SELECT o_orderstatus AS grp, CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, o_orderkey AS id, o_totalprice AS v FROM orders)"
@@ -124,7 +124,7 @@ def all_pairs(spark, d):
         "observed, p_value",
         f"""WITH {PAIRED_SQL}, gs AS (SELECT domain, 'a' || seed AS id, true AS is_a, a AS v FROM pa UNION ALL SELECT domain, 'b' || seed, false, b FROM pa),
             obs AS (SELECT domain, abs(avg(v) FILTER (WHERE is_a) - avg(v) FILTER (WHERE NOT is_a)) AS o, count(*) FILTER (WHERE is_a) AS na FROM gs GROUP BY domain),
-            sh AS (SELECT domain, rep, v, row_number() OVER (PARTITION BY domain, rep ORDER BY md5(concat_ws('|', '42', domain, rep, id))) AS pos FROM gs, range(1, 1001) g(rep)),
+            sh AS (SELECT domain, rep, v, row_number() OVER (PARTITION BY domain, rep ORDER BY md5(concat_ws('|', '42', domain, rep, id))) AS pos FROM gs, range(1, 10001) g(rep)),
             df AS (SELECT domain, rep, abs(avg(v) FILTER (WHERE pos <= na) - avg(v) FILTER (WHERE pos > na)) AS x, any_value(o) AS o FROM sh JOIN obs USING (domain) GROUP BY domain, rep)
             SELECT domain, any_value(o) AS observed, avg((round(x, 9) >= round(o, 9))::INTEGER) AS p_value FROM df GROUP BY domain""",
     ),
