@@ -9,7 +9,7 @@ from edgeloom.catalog.registry import query, rounded, table
 from edgeloom.catalog.statistics import rank_sql
 from edgeloom.operators import formulas as M
 from edgeloom.operators import invariants as I
-from edgeloom.plans.calibration import calibration_gate
+from edgeloom.plans.calibration import calibration_gate, calibration_verdict
 from edgeloom.session import pin
 
 FEATURES_SQL = CORPUS_SQL + f""",
@@ -216,7 +216,9 @@ def calibration(spark, d):
     from edgeloom.catalog.derive import region_kg
 
     entities, edges = region_kg(spark, d)
-    return calibration_gate(edges, entities, ["domain"], replicates=2)
+    gate = pin(calibration_gate(edges, entities, ["domain"], replicates=2)).withColumn("_all", F.lit(1))
+    verdict = calibration_verdict(gate, ["_all"]).select("_all", "n_passing", "verdict")
+    return gate.join(verdict, "_all").drop("_all")
 
 
 @query("L15_metrics_table")

@@ -134,7 +134,7 @@ def permutation(spark, d):
         F.struct(F.concat(F.lit("a"), "seed").alias("id"), F.lit("a").alias("side"), F.col("a").alias("v")),
         F.struct(F.concat(F.lit("b"), "seed").alias("id"), F.lit("b").alias("side"), F.col("b").alias("v")),
     )))
-    return B.permutation_test(pin(rows), ["domain"], "side", "v", ["id"])
+    return B.permutation_test(pin(rows), ["domain"], "side", "v", ["id"], replicates=10_000)
 
 
 @query(

@@ -17,6 +17,7 @@ from edgeloom.operators import invariants as I
 from edgeloom.operators import logs as L
 from edgeloom.operators import ranking as R
 from edgeloom.operators import statistics as B
+from edgeloom.plans.calibration import calibration_verdict
 
 
 @pytest.fixture(scope="module")
@@ -189,6 +190,14 @@ def test_scores_are_cut_off_and_read_from_the_first_flat_braces(spark):
                    4: (None, 3, 3), 5: ("no_json", None, None)}
 
 
+def test_calibration_verdict_needs_two_graphs_and_the_whole_grid(spark):
+    rows = [("a", "x", True, True), ("a", "y", True, True), ("a", "z", False, True), ("b", "x", True, True), ("b", "y", False, True),
+            ("c", "x", True, True), ("c", "y", True, False)]
+    gate = spark.createDataFrame(rows, "run string, domain string, passes boolean, grid_beats boolean")
+    got = {r["run"]: (r["n_passing"], r["verdict"]) for r in calibration_verdict(gate, ["run"]).collect()}
+    assert got == {"a": (2, True), "b": (1, False), "c": (2, False)}
+
+
 def test_archive_ties_and_flags(spark):
     old = spark.createDataFrame([("a", 0, 0, 1.0, "old")], "k string, row int, col int, fitness double, item string")
     batch = spark.createDataFrame(
