@@ -59,13 +59,14 @@ def word_symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, owner, np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def gram_keys(codes: np.ndarray, k: int, bits: int) -> np.ndarray:
-    """Hash of the k symbols that end at each position (meaningless nearer than k to the start)."""
-    h = np.zeros(len(codes), np.uint64)
-    for back in range(k - 1, -1, -1):
-        moved = np.zeros_like(codes)
-        moved[back:] = codes[: len(codes) - back]
-        h = _mix((h + moved + np.uint64(1)) * MIX)
+def longer(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hash of the k + 1 symbols that end at each place, from the hashes of k (meaningless near the start)."""
+    before = np.zeros_like(h)
+    before[1:] = h[:-1]
+    return _mix((before + codes + np.uint64(1)) * MIX)
+
+
+def key_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -93,9 +94,10 @@ def grams_of(texts: pa.Array, langs: list[str], order: int, bits: int) -> Iterat
     for at in range(0, len(runs), 40_000):
         part, own = runs[at : at + 40_000], owner[at : at + 40_000]
         symbols, word, place = word_symbols(part)
-        key = gram_keys(symbols, 0, bits)
+        h, key = np.zeros_like(symbols), np.zeros(len(symbols), np.int64)
         for k in range(1, order + 1):
-            shorter, key = key, gram_keys(symbols, k, bits)
+            h = longer(h, symbols)
+            shorter, key = key, key_of(h, bits)
             here = np.flatnonzero((place >= k - 1) & (place > 0))
             ctx = np.zeros_like(key)
             ctx[1:] = shorter[:-1]
@@ -141,9 +143,10 @@ class Model:
         for at in range(0, len(runs), 25_000):
             codes, word, place = word_symbols(runs[at : at + 25_000])
             p = np.full((len(codes), len(self.langs)), 1.0 / self.symbols, np.float32)
-            ctx = gram_keys(codes, 0, self.bits)
+            h, ctx = np.zeros_like(codes), np.zeros(len(codes), np.int64)
             for k in range(1, self.order + 1):
-                key = gram_keys(codes, k, self.bits)
+                h = longer(h, codes)
+                key = key_of(h, self.bits)
                 here = np.flatnonzero((place >= k - 1) & (place > 0))
                 before = ctx[here - 1] if k > 1 else np.zeros(len(here), np.int64)
                 p[here] = found(self.grams[k], self.share[k], key[here], 0.0) + found(
