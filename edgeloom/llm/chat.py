@@ -44,31 +44,32 @@ def reply_paths(messages: DataFrame, scratch: Scratch, per_tree: int | None = No
     """
     links = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = links.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
-    # jump[k]: (tree, node) -> the message 2^k above, with hops and summed score of the way there.
-    state = scratch.keep(
+    # open_: (tree, node) -> the message 2^k above, with hops and summed score of the way there. A
+    # message whose pointer has left the root is done and takes no part in later rounds.
+    first = scratch.keep(
         links.join(known, (F.col("tree") == F.col("_t")) & (F.col("parent") == F.col("_n")), "left").select(
             "tree", "node", F.col("_n").alias("up"), F.lit(1).cast("long").alias("hops"), F.col("score").alias("sum")
         )
     )
+    open_, done = first.filter("up IS NOT NULL"), first.filter("up IS NULL")
     total, jumps = messages.count(), []
     # On a cycle pointers never end: beyond as many steps as there are messages nothing new comes.
-    while len(jumps) < ROUNDS and 1 << len(jumps) <= 2 * total:
-        if state.filter("up IS NOT NULL").isEmpty():
-            break
-        jumps.append(state)
-        above = state.select(
+    while len(jumps) < ROUNDS and 1 << len(jumps) <= 2 * total and not open_.isEmpty():
+        jumps.append(open_)
+        above = open_.unionByName(done).select(
             F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("hops").alias("_hops"), F.col("sum").alias("_sum")
         )
-        state = scratch.keep(
-            state.join(above, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_n")), "left").select(
+        moved = scratch.keep(
+            open_.join(above, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_n"))).select(
                 "tree",
                 "node",
                 F.col("_up").alias("up"),
-                (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
-                (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
+                (F.col("hops") + F.col("_hops")).alias("hops"),
+                (F.col("sum") + F.col("_sum")).alias("sum"),
             )
         )
-    rooted = state.filter("up IS NULL").select("tree", "node", F.col("hops").alias("depth"), (F.col("sum") / F.col("hops")).alias("mean"))
+        open_, done = moved.filter("up IS NOT NULL"), done.unionByName(moved.filter("up IS NULL"))
+    rooted = done.select("tree", "node", F.col("hops").alias("depth"), (F.col("sum") / F.col("hops")).alias("mean"))
     parents = links.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
     leaves = rooted.join(parents, ["tree", "node"], "left_anti")
     if per_tree is not None:
@@ -76,7 +77,7 @@ def reply_paths(messages: DataFrame, scratch: Scratch, per_tree: int | None = No
         leaves = leaves.withColumn("_r", F.row_number().over(rank)).filter(f"_r <= {per_tree}")
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node")
     for jump in jumps:  # every member so far brings in the one 2^k above it
-        up = jump.filter("up IS NOT NULL").select("tree", "node", "up")
+        up = jump.select("tree", "node", "up")
         paths = scratch.keep(
             paths.unionByName(paths.join(up, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node")))
         )
@@ -145,9 +146,13 @@ def parsed(formatted: Column) -> Column:
 
 
 def format_conversations(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
-    """``format_paths`` of ``messages(tree, node, parent, role, text, score)``, all or the best paths of each tree."""
+    """``format_paths`` of ``messages(tree, node, parent, role, text, score)``, all or the best paths of each tree.
+
+    Rows that repeat a message are one message: the least by parent, role, text and score.
+    """
     scratch = Scratch(messages.sparkSession)
-    kept = scratch.keep(messages.select("tree", "node", "parent", "role", "text", "score"))
+    one = messages.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
+    kept = scratch.keep(one.select("tree", "node", "m.parent", "m.role", "m.text", "m.score"))
     return format_paths(kept, reply_paths(kept, scratch, per_tree))
 
 

@@ -17,6 +17,7 @@ def test_best_branches_of_a_tree(spark):
         ("t", 8, 9, "user", "cycle", 1.0),
         ("t", 9, 8, "user", "cycle", 1.0),
         ("u", 1, 77, "user", "orphan", None),
+        ("t", 4, 2, "user", "thanks", 2.0),  # said twice
     ]
     messages = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
     everything = format_conversations(messages).collect()
