@@ -297,13 +297,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- Near copies: fingerprints of segments, then an exact check -----------------------------
+# --- Near copies: an exact join on prefixes of shingle sets ----------------------------------
 
-#: Words in a shingle, words in a segment (about), segments of a document that are fingerprinted.
-NEAR_WORDS, SEGMENT_WORDS, SEGMENTS = 5, 24, 6
-#: Texts before it in a class that a text is compared with.
-NEIGHBOURS = 4
+#: Words in a shingle.
+NEAR_WORDS = 5
 SIMILARITY = 0.8
+#: Texts sampled for the shingles that prefixes take last, and how many of those there are at most.
+COMMON_SAMPLE, COMMON = 20_000, 200_000
+#: Texts up to which a list is compared by pairs, and texts of a cell (about, twice) beyond that.
+FEW, CELL = 8, 512
 
 
 def segment_marks(text: str, size: int, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -325,26 +327,116 @@ def segment_marks(text: str, size: int, words: int, most: int) -> tuple[np.ndarr
 
 
 def near_marks(docs: DataFrame, text: str, doc_id: str, size: int) -> DataFrame:
-    """``(key, doc_id, marks, shingles)``; ``key`` is a hash of the whole text."""
+    """``(key, doc_id, shingles)``; ``key`` is a hash of the whole text, shingles are a sorted set of 32-bit hashes."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [segment_marks(t, size, SEGMENT_WORDS, SEGMENTS) for t in column_array(batch, "text").to_pylist()]
+            sets = [np.unique((shingle_hashes(t, size) & np.uint64(0xFFFFFFFF)).astype(np.uint32)) for t in column_array(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:2],
-                    pa.array([m.view(np.int64) for m, _ in both], pa.list_(pa.int64())),
-                    pa.array([s.tobytes() for _, s in both], pa.binary()),
-                ],
-                names=["key", "doc_id", "marks", "shingles"],
+                [*batch.columns[:2], pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "doc_id", "shingles"]
             )
 
     return docs.select(F.xxhash64(text_or_empty(text)).alias("key"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(
-        run, f"key long, doc_id {kind}, marks array<long>, shingles binary"
+        run, f"key long, doc_id {kind}, shingles binary"
     )
 
 
+def common_shingles(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that many texts hold, and in how many of a hashed sample: what prefixes take last.
+
+    Any order of shingles gives the same pairs; this one keeps lists short.
+    """
+    every = max(1, total // COMMON_SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x, np.uint32) for x in batch.column(0).to_pylist()]
+            token, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint32)]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"token": token.astype(np.int64), "n": n.astype(np.int64)})
+
+    top = (
+        texts.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0)
+        .select("shingles")
+        .mapInArrow(run, "token long, n long")
+        .groupBy("token")
+        .agg(F.sum("n").alias("n"))
+        .filter("n > 2")
+        .orderBy(F.desc("n"), "token")
+        .limit(COMMON)
+        .toPandas()
+        .sort_values("token")
+    )
+    return top["token"].to_numpy(np.uint32), top["n"].to_numpy(np.int64)
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, one more than it may lack of a similar one.
+
+    Two sets with a Jaccard similarity of 0.8 share at least one shingle of
+    their prefixes, whatever the order all sets are ranked in. No shingles, one
+    prefix: texts without a word meet.
+    """
+    if not len(shingles):
+        return np.zeros(1, np.uint32)
+    n = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        n = np.where(common[at] == shingles, counts[at], 0)
+    least = int(np.ceil(SIMILARITY * len(shingles) - 1e-9))
+    return shingles[np.lexsort((shingles, n))[: len(shingles) - least + 1]]
+
+
+def prefixes(texts: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``(token, key, n)``: every shingle of every text's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sets = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
+            heads = [prefix(s, common, counts) for s in sets]
+            lengths = [len(x) for x in heads]
+            token, key = np.concatenate(heads).astype(np.int64), np.repeat(batch.column(0).to_numpy(), lengths)
+            n = np.repeat(np.array([len(s) for s in sets], np.int32), lengths)
+            for at in range(0, len(token), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_pydict({"token": token[part], "key": key[part], "n": n[part]})
+
+    return texts.select("key", "shingles").mapInArrow(run, "token long, key long, n int")
+
+
+def cell_links(table: pa.Table, threshold: float) -> pa.Table:
+    """Links ``(u, v)`` that join what is similar in a cell and not joined before: exact, and never all pairs."""
+    key, group = table.column("key").to_numpy(), table.column("group").to_numpy()
+    sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(-size, kind="stable")
+    key, size, sets = key[order], size[order], [sets[i] for i in order]
+    _, labels = np.unique(group[order], return_inverse=True)
+    token, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    starts = ends - size
+    held = np.zeros(len(token), np.int32)
+    u, v = [], []
+    for i in range(len(key) - 1):
+        # Sizes fall, so those long enough for this one are a stretch after it.
+        stop = int(np.searchsorted(-size, -threshold * size[i] + 1e-9, side="right"))
+        if stop <= i + 1 or (labels[i + 1 : stop] == labels[i]).all():
+            continue
+        own = flat[starts[i] : ends[i]]
+        held[own] = 1
+        both = np.add.reduceat(held[flat[starts[i + 1] : ends[stop - 1]]], starts[i + 1 : stop] - starts[i + 1])
+        held[own] = 0
+        near = both >= threshold * (size[i] + size[i + 1 : stop] - both)
+        for j in (np.flatnonzero(near & (labels[i + 1 : stop] != labels[i])) + i + 1).tolist():
+            if labels[j] != labels[i]:
+                u.append(key[i])
+                v.append(key[j])
+                labels[labels == labels[j]] = labels[i]
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` whose shingle sets ``sa, sb`` have at least this Jaccard similarity."""
 
@@ -364,54 +456,65 @@ def similar(pairs: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(key, doc_id, component)`` of every distinct text, ``doc_id`` being its smallest.
 
-    Whole-document fingerprints of texts that share 0.8 of their five-word
-    shingles differ in about ten of 64 bits, too many for any tree to prune, so
-    fingerprints are taken of segments: most segments of a near copy are
-    untouched. Segments within two bits form a class; in each class a text is
-    compared with the class's first text and with those just before it in an
-    order that brings copies together: a fixed number of comparisons whatever
-    the size of the class. The order of a large class is cut by hash.
-    Links are kept when the whole texts' shingle sets really are that similar.
+    Texts that share 0.8 of their five-word shingles, and what such links join:
+    exactly the components of all similar pairs. Similar texts share a shingle
+    of their prefixes (see ``prefix``); each text is first compared with the
+    first text of each of its shingles' lists. Lists then still in several
+    components are compared in full: short ones by pairs, the texts of long
+    ones in cells of bounded size, which join components but list no pairs.
     """
     raw = scratch.keep(near_marks(docs, text, doc_id, NEAR_WORDS))
-    texts = scratch.keep(
-        raw.groupBy("key").agg(
-            F.min("doc_id").alias("doc_id"), F.first("marks").alias("marks"), F.first("shingles").alias("shingles")
-        )
-    )
+    texts = scratch.keep(raw.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("shingles").alias("shingles")))
     scratch.drop(raw)
-    spread = scratch.keep(texts.select("key", F.length("shingles").alias("n"), F.explode("marks").alias("fp")))
-    points = scratch.keep(spread.select("fp").distinct())
-    # Segments are many: larger shards, which are searched by the same bounds, save visits.
-    star = components(scratch.keep(close_links(points, scratch, shard=4 * SHARD)), scratch)
-    held = scratch.keep(
-        spread.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
-            "key", "n", F.coalesce("root", "fp").alias("class")
-        )
+    spread = scratch.keep(prefixes(texts, *common_shingles(texts, texts.count())))
+    shared = scratch.keep(
+        spread.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("key", "n")).alias("first")).filter("c > 1")
     )
-    # Only classes of several texts matter from here on.
-    size = held.groupBy("class").agg(F.count("*").alias("c"), F.min(F.struct("key", "n")).alias("first"))
-    shared = scratch.keep(size.filter("c > 1").select("class", "first"))
-    lead = scratch.keep(held.groupBy("key").agg(F.min("class").alias("lead")))
-    members = scratch.keep(held.join(shared, "class").join(lead, "key"))
-    order, part = F.struct("lead", "n", "key"), F.shiftright(F.col("lead"), 58)
-    ordered = running_max(members, ["class"], ["lead", "n", "key"], part, order, "previous")
-    near = Window.partitionBy("class", part).orderBy("lead", "n", "key").rowsBetween(-NEIGHBOURS, -1)
-    known = F.array(F.struct("first.key", "first.n"), F.struct("previous.key", "previous.n"))
-    beside = ordered.withColumn("near", F.collect_list(F.struct("key", "n")).over(near)).select(
-        "key", "n", F.explode(F.concat(known, "near")).alias("other")
+    members = scratch.keep(spread.join(shared, "token").select("token", "key", "n", "first"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        left = texts.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
+        right = texts.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
+        return scratch.keep(similar(pairs.join(left, "a").join(right, "b"), SIMILARITY))
+
+    def pairs_of(both: DataFrame, x: str, y: str, nx: str, ny: str) -> DataFrame:
+        long_enough = F.least(nx, ny) >= SIMILARITY * F.greatest(nx, ny) - 1e-9
+        return scratch.keep(both.filter(f"{x} <> {y}").filter(long_enough).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct())
+
+    links = checked(pairs_of(members, "key", "first.key", "n", "first.n"))
+    joined = components(links, scratch).select(F.col("u").alias("key"), F.col("v").alias("root"))
+    known = scratch.keep(members.join(joined, "key", "left").select("token", "key", "n", F.coalesce("root", "key").alias("group")))
+    lists = known.groupBy("token").agg(
+        F.count("*").alias("c"), F.min("key").alias("least"), F.min("group").alias("low"), F.max("group").alias("high")
     )
-    pairs = scratch.keep(
-        beside.filter("other.key <> key")
-        .filter(F.least("n", "other.n") >= SIMILARITY * F.greatest("n", "other.n"))
-        .select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b"))
+    open_ = scratch.keep(lists.filter("low <> high").select("token", "c", "least"))
+    todo = scratch.keep(known.join(open_, "token"))
+
+    few = todo.filter(f"c <= {FEW}")
+    one = few.select("token", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("group").alias("gx"))
+    two = few.select("token", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("group").alias("gy"))
+    some = checked(pairs_of(one.join(two, "token").filter("x < y AND gx <> gy"), "x", "y", "nx", "ny"))
+
+    # Long lists that share texts are one area; a text is in each cell of its area and length band once.
+    many = scratch.keep(todo.filter(f"c > {FEW}").select("key", "n", "group", "least").distinct())
+    area = components(scratch.keep(many.select(F.col("key").alias("u"), F.col("least").alias("v"))), scratch)
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(np.log(1.01 / SIMILARITY)))
+    hard = scratch.keep(
+        many.select("key", "n", "group")
         .distinct()
+        .join(area.select(F.col("u").alias("key"), F.col("v").alias("area")), "key", "left")
+        .select("key", "group", F.coalesce("area", "key").alias("area"), F.explode(F.array(band, band - 1)).alias("band"))
     )
-    left = texts.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    right = texts.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    links = scratch.keep(similar(pairs.join(left, "a").join(right, "b"), SIMILARITY))
-    scratch.drop(spread, points, held, shared, lead, members, pairs)
-    joined = components(links, scratch).select(F.col("u").alias("key"), F.col("v").alias("root"))
+    cut = hard.groupBy("area", "band").agg(F.ceil(F.count("*") / CELL).alias("cuts"))
+    cells = (
+        hard.join(cut, ["area", "band"])
+        .withColumn("own", F.pmod(F.xxhash64("key"), F.col("cuts")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+        .select("key", "group", "area", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .join(texts.select("key", "shingles"), "key")
+    )
+    rest = scratch.keep(cells.groupBy("area", "band", "i", "j").applyInArrow(lambda t: cell_links(t, SIMILARITY), "u long, v long"))
+    joined = components(links.unionByName(some).unionByName(rest), scratch).select(F.col("u").alias("key"), F.col("v").alias("root"))
     return texts.select("key", "doc_id").join(joined, "key", "left").select(
         "key", "doc_id", F.coalesce("root", "key").alias("component")
     )

@@ -123,3 +123,49 @@ def test_segments_begin_at_the_same_places_in_copies():
     a, _ = segment_marks(text, 5, 24, 99)
     b, _ = segment_marks("quite another start " + text, 5, 24, 99)
     assert len(set(a.tolist()) & set(b.tolist())) >= len(a) - 2
+
+
+def classes(texts):
+    """Exact components of all pairs with 0.8 of their shingles in common."""
+    sets = [shingles(t) for t in texts]
+    held, root = {}, list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for x in s:
+            held.setdefault(x, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        both = {}
+        for x in s:
+            for j in held[x]:
+                both[j] = both.get(j, 0) + 1
+        for j, n in both.items():
+            if j < i and 5 * n >= 4 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def kept_of(spark, texts):
+    return {r["doc_id"] for r in near_dedup_stage(spark, docs(spark, list(enumerate(texts))), "").collect()}
+
+
+def test_copies_that_are_similar_to_their_original_only_are_found(spark):
+    rng = np.random.default_rng(11)
+    words = gibberish(rng, 300).split()
+    star = []
+    for i in range(1500):  # 0.85 similar to the original, about 0.73 to each other
+        own = list(words)
+        for k, at in enumerate(rng.choice(60, 5, replace=False)):
+            own[5 * at] = f"edit{i}x{k}"
+        star.append(" ".join(own))
+    line = gibberish(rng, 60)  # texts that are mostly one passage, but not similar
+    alike = [line + " " + gibberish(rng, 25) for _ in range(300)]
+    texts = star[:700] + [" ".join(words)] + star[700:] + alike
+    want = classes(texts)
+    assert len(want) == 301
+    assert kept_of(spark, texts) == want
