@@ -53,11 +53,15 @@ IMPLIED_END = {
 FENCES = frozenset("td th caption table".split())
 TABLE_PARTS = frozenset("table tbody thead tfoot tr td th caption".split())
 
+#: A quote delimits a value right after "=" and white space only; one without a partner is part of an unquoted value.
+ATTRIBUTES = r"""(?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f>]*+))?+)*+"""
 TOKEN = re.compile(
-    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>?|</[^>]*+>?""",
+    rf"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})>|</?[a-zA-Z][^>]*+>?|</[^>]*+>?""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+ATTRIBUTE = re.compile(
+    r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>]*+)))?"""
+)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 DISPLAY_NONE = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)

@@ -43,6 +43,14 @@ def test_odd_input():
     assert render("</p></div></table><td>cell") == "cell"
 
 
+def test_stray_quotes_do_not_swallow_text():
+    assert render("""<a href=foo">one</a> two <a href=bar">three</a>""") == "one two three"
+    assert render("<p title=don't>It's here") == "It's here"
+    assert render("""<ul><li class=x">a<li class=x">b<li class=x">c<li "y">d</ul>""") == "- a\n- b\n- c\n- d"
+    assert render("""one<p class="x>two""") == "one\n\ntwo"  # no partner
+    assert render("""<b title="a>b" id = 'c>d' hidden>no</b><i alt=">">yes</i><p style=display:none>no""") == "yes"
+
+
 def test_every_word_of_a_page_is_kept(spark):
     rng = np.random.default_rng(0)
     pages = []
