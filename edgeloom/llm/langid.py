@@ -34,8 +34,10 @@ KEY_BITS = 21
 #: Every so many training rows one is not counted but calibrates; of a language at most
 #: CALIBRATION_ROWS do, the smallest hashes first.
 CALIBRATE_EVERY, CALIBRATION_ROWS = 10, 500
-#: A text is rejected this many deviations above the cross-entropy of its language's calibration rows.
-REJECT_Z = 16.0
+#: A text is rejected this many robust deviations above the cross-entropy of its language's calibration rows.
+REJECT_Z = 6.0
+#: Calibration rows from which a language has a spread of its own, and the least spread, as a share of the median.
+OWN_SPREAD, LEAST_SPREAD = 20, 0.03
 UNKNOWN = "und"
 
 START, END = ord("^"), ord("$")
@@ -179,6 +181,7 @@ class Model:
         rows = np.arange(len(h))
         odds = np.exp(-self.sharpness * (h - h[rows, best][:, None]))
         limit = self.mean[best] + REJECT_Z * self.spread[best] * np.sqrt(1 + 200 / np.maximum(n, 1))
+        limit = np.minimum(limit, np.log2(self.symbols))  # what a draw of symbols by no model costs
         none = n == 0
         return {
             "lang": [UNKNOWN if x else self.langs[i] for i, x in zip(best, none, strict=True)],
@@ -254,22 +257,26 @@ def build(rows, langs: list[str], order: int, bits: int) -> Model:
 
 
 def calibrate(model: Model, texts: pa.Array, langs: list[str]) -> None:
-    """Mean and spread of the true language's cross-entropy, and the sharpness of the score.
+    """Median and spread of the true language's cross-entropy, and the sharpness of the score.
 
-    The spread is that of long texts; ``predict`` widens it for short ones.
+    The spread is that of long texts; ``predict`` widens it for short ones. It
+    is a median deviation, so that mislabelled rows do not widen it. A language
+    with few rows takes the spread of all, one without rows the median too.
     """
     h, n = model.entropies(texts)
-    truth = np.array([model.langs.index(x) for x in langs])
+    truth = np.array([model.langs.index(x) for x in langs], np.int64)
     enough = n >= 20
     own = h[np.arange(len(h)), truth]
-    model.mean = np.full(len(model.langs), np.inf)
-    model.spread = np.zeros(len(model.langs))
+    model.mean = np.full(len(model.langs), np.median(own[enough]) if enough.any() else np.inf)
     for i in range(len(model.langs)):
-        mine = own[enough & (truth == i)]
-        if len(mine):
-            model.mean[i] = np.median(mine)
-            around = (mine - model.mean[i]) / np.sqrt(1 + 200 / n[enough & (truth == i)])
-            model.spread[i] = max(float(np.sqrt(np.mean(around**2))), 0.03 * model.mean[i])
+        if (mine := enough & (truth == i)).any():
+            model.mean[i] = np.median(own[mine])
+    off = np.abs(own / model.mean[truth] - 1) / np.sqrt(1 + 200 / np.maximum(n, 1))
+    share = np.full(len(model.langs), 1.4826 * np.median(off[enough]) if enough.any() else 0.0)
+    for i in range(len(model.langs)):
+        if (mine := enough & (truth == i)).sum() >= OWN_SPREAD:
+            share[i] = 1.4826 * np.median(off[mine])
+    model.spread = np.where(np.isfinite(model.mean), np.maximum(share, LEAST_SPREAD) * model.mean, 0.0)
     loss = []
     steps = [2.0**i for i in range(-2, 9)]
     for sharp in steps:
@@ -285,7 +292,7 @@ def train(
 
     All rows are counted but every CALIBRATE_EVERY-th by hash: of those a
     bounded number per language calibrates the rejection on texts the counts
-    have not seen. A language without such rows rejects nothing.
+    have not seen.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark)

@@ -171,6 +171,24 @@ def test_held_out_accuracy_and_texts_without_letters(spark, tmp_path):
     assert sum(r["rejected"] for r in got if r["doc_id"] in truth) == 0
 
 
+def test_gibberish_and_unlearned_languages_are_rejected(spark):
+    rng = np.random.default_rng(12)
+    rows = labelled(600)
+    noise = ["".join(rng.choice(list("bcdfglmnprstaeiouöüñó  "), 150)) for _ in range(20)]
+    script = ["".join(rng.choice(list("абвгдежзиклмн  "), 150)) for _ in range(20)]
+    wrong = [(2000 + i, t, "aa", "s") for i, t in enumerate(noise[:6])]  # mislabelled rows
+    few = [(3000, "dada fafa", "dd", "s")]  # no calibration row
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    model = L.train(L.training_rows(docs(spark, rows + wrong + few)))
+    import pyarrow as pa
+
+    told = lambda texts: model.predict(pa.array(texts))["rejected"]
+    assert np.isfinite(model.mean).all() and "dd" in model.langs
+    assert told(noise[6:]).all() and told(script).all()
+    assert told(["ж" * 30, "дом"]).all()
+    assert told([r[1] for r in held]).sum() == 0
+
+
 def test_model_is_interpolated_kneser_ney_by_hand():
     """Two words, order 2: counts small enough to work out."""
     import pandas as pd
