@@ -9,6 +9,7 @@ before and cost little; a random key costs nearly all its bytes.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +34,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = ("passw", "pwd", "secret", "token", "api", "key", "auth", "cred", "bearer", "private")
 CONTEXT = re.compile(rf"(?i:\b\w*(?:{'|'.join(SENSITIVE)})\w*)\W", re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate goes on over dots, as the parts of a signed token do.
+DOTTED = re.compile(r"(?:\.[A-Za-z0-9+/_=-]{16,})+")
+#: The body of a private key, to its END line, or without one as far as its lines of base64 go.
+KEY_BLOCK = re.compile(
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:((?:(?!-----BEGIN ).)*?)-----END |((?:\s*[A-Za-z0-9+/=]{16,}(?!\S))+))", re.S
+)
 IDENTIFIER = re.compile(r"[A-Za-z_]{4,40}")
 #: Characters after a sensitive word in which a candidate may begin, and those around it that price it.
 REACH, AROUND = 64, 512
@@ -76,23 +83,72 @@ def contexts(text: str, low: str) -> Iterator[tuple[int, int]]:
             yield start, min(start + REACH, len(text) if line < 0 else line)
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Where the bodies of private keys are, white space at either end aside."""
+    out = []
+    if "PRIVATE KEY" in text:
+        for m in KEY_BLOCK.finditer(text):
+            body = m[1] if m[1] is not None else m[2]
+            start, end = m.span(1 if m[1] is not None else 2)
+            start, end = start + len(body) - len(body.lstrip()), end - len(body) + len(body.rstrip())
+            if any(mixed(w) for w in CANDIDATE.findall(text, start, end)):
+                out.append((start, end))
+    return out
+
+
 def novel_spans(text: str, low: str, taken: list[tuple], packer) -> list[tuple]:
-    """Candidates apart from ``taken`` whose added bytes per character reach ``NOVELTY``."""
-    out, done = [], set()
+    """Candidates apart from ``taken`` whose added bytes per character reach ``NOVELTY``.
+
+    Bodies of private keys are among them whatever they cost. Copies of a
+    candidate after it, and those before it that follow a sensitive word too, do
+    not count as seen. Every copy of a reported string is reported.
+    """
+
+    def price_of(word: str, before: str, after: str) -> float:
+        bare = len(packer.compress((after + before).encode("utf-8", "surrogatepass")))
+        full = len(packer.compress((after + before + word).encode("utf-8", "surrogatepass")))
+        return (full - bare) / len(word)
+
+    out = [
+        ("novel", s, e, s, price_of(text[s:e], text[max(0, s - AROUND) : s], text[e : e + AROUND])) for s, e in key_blocks(text)
+    ]
+    taken = taken + out
+    found: dict[int, tuple[int, int, int]] = {}  # start of a candidate: its end, and both ends of the dotted run it is in
     for start, end in contexts(text, low):
         at = start
         while (m := CANDIDATE.search(text, at)) and m.start() < end:
-            at = m.end()
-            word = m.group()
-            if m.start() in done or not mixed(word) or any(s < m.end() and m.start() < e for _, s, e, *_ in taken):
-                continue
-            done.add(m.start())
-            before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-            bare = len(packer.compress((after + before).encode("utf-8", "surrogatepass")))
-            full = len(packer.compress((after + before + word).encode("utf-8", "surrogatepass")))
-            price = (full - bare) / len(word)
-            if price >= NOVELTY:
-                out.append(("novel", m.start(), m.end(), m.start(), price))
+            run = DOTTED.match(text, m.end())
+            stop = run.end() if run else m.end()
+            at = first = m.start()
+            while at < stop and (m := CANDIDATE.match(text, at)):
+                found.setdefault(at, (m.end(), first, stop))
+                at = m.end() + 1
+            at = stop
+    places: dict[str, list[int]] = {}
+    for start, (end, *_) in sorted(found.items()):
+        places.setdefault(text[start:end], []).append(start)
+    runs: dict[str, float] = {}
+    clear = lambda s, e: not any(x < e and s < y for _, x, y, *_ in taken)
+    for start in sorted(found):
+        end, first, stop = found[start]
+        word = text[start:end]
+        if not mixed(word) or not clear(start, end):
+            continue
+        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND].replace(word, "")
+        if len(places[word]) > 1:
+            low_end = start - len(before)
+            for p in reversed(places[word][bisect_left(places[word], low_end) : bisect_left(places[word], start)]):
+                before = before[: p - low_end] + before[p - low_end + len(word) :]
+        if (price := price_of(word, before, after)) >= NOVELTY:
+            run = text[first:stop] if clear(first, stop) else word
+            runs[run] = max(price, runs.get(run, 0.0))
+    for word, price in sorted(runs.items(), key=lambda x: -len(x[0])):
+        at = text.find(word)
+        while at >= 0:
+            if clear(at, at + len(word)):
+                out.append(("novel", at, at + len(word), at, price))
+                taken = [*taken, out[-1]]
+            at = text.find(word, at + len(word))
     return out
 
 
