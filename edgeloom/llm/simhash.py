@@ -305,7 +305,7 @@ SIMILARITY = 0.8
 #: Texts sampled for the shingles that prefixes take last, and how many of those there are at most.
 COMMON_SAMPLE, COMMON = 20_000, 200_000
 #: Texts up to which a list is compared by pairs, and texts of a cell (about, twice) beyond that.
-FEW, CELL = 8, 512
+FEW, CELL = 8, 2048
 
 
 def segment_marks(text: str, size: int, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -471,6 +471,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
         spread.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("key", "n")).alias("first")).filter("c > 1")
     )
     members = scratch.keep(spread.join(shared, "token").select("token", "key", "n", "first"))
+    scratch.drop(spread, shared)
 
     def checked(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
@@ -484,11 +485,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
     links = checked(pairs_of(members, "key", "first.key", "n", "first.n"))
     joined = components(links, scratch).select(F.col("u").alias("key"), F.col("v").alias("root"))
     known = scratch.keep(members.join(joined, "key", "left").select("token", "key", "n", F.coalesce("root", "key").alias("group")))
+    scratch.drop(members)
     lists = known.groupBy("token").agg(
         F.count("*").alias("c"), F.min("key").alias("least"), F.min("group").alias("low"), F.max("group").alias("high")
     )
     open_ = scratch.keep(lists.filter("low <> high").select("token", "c", "least"))
     todo = scratch.keep(known.join(open_, "token"))
+    scratch.drop(known, open_)
 
     few = todo.filter(f"c <= {FEW}")
     one = few.select("token", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("group").alias("gx"))
@@ -505,6 +508,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_i
         .join(area.select(F.col("u").alias("key"), F.col("v").alias("area")), "key", "left")
         .select("key", "group", F.coalesce("area", "key").alias("area"), F.explode(F.array(band, band - 1)).alias("band"))
     )
+    scratch.drop(todo, many)
     cut = hard.groupBy("area", "band").agg(F.ceil(F.count("*") / CELL).alias("cuts"))
     cells = (
         hard.join(cut, ["area", "band"])

@@ -169,3 +169,29 @@ def test_copies_that_are_similar_to_their_original_only_are_found(spark):
     want = classes(texts)
     assert len(want) == 301
     assert kept_of(spark, texts) == want
+
+
+def edited(rng, text, edits, tag):
+    words = text.split()
+    for k, at in enumerate(rng.choice(len(words), edits, replace=False)):
+        words[at] = f"{tag}x{k}"
+    return " ".join(words)
+
+
+def test_scattered_edits_and_repeated_passages(spark):
+    rng = np.random.default_rng(21)
+    passage = gibberish(rng, 20)
+    texts = [gibberish(rng, 300) + (" " + passage) * 6 for _ in range(80)]
+    texts += [edited(rng, t, int(rng.integers(5, 9)), f"e{i}") for i, t in enumerate(texts)]
+    want = classes(texts)
+    assert 80 <= len(want) < 160
+    assert kept_of(spark, texts) == want
+
+
+def test_pairs_of_110_to_135_words(spark):
+    rng = np.random.default_rng(22)
+    texts = [gibberish(rng, n) for n in range(110, 136) for _ in range(3)]
+    texts += [" ".join(w[:k] + w[k + 2 :]) for w in (t.split() for t in texts) for k in [int(rng.integers(0, 100))]]
+    want = classes(texts)
+    assert len(want) == len(texts) // 2
+    assert kept_of(spark, texts) == want
