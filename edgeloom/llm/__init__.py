@@ -13,6 +13,9 @@ MODULES = (
     "mixing",
     "packing",
     "langid",
+    "divergence",
+    "ngram_jaccard",
+    "centroids",
 )
 
 
