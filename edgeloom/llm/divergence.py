@@ -10,6 +10,7 @@ one row a block, and counts add up over blocks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,51 +27,53 @@ LEAST_DOCUMENTS = 10
 TOP = 10
 UNIT = 1_000_000_000
 
-BLOCKS = "block long, chunk string, held binary, langs array<string>, sources array<string>"
+BLOCKS = "block long, chunk string, held binary, docs long"
 COUNTS = "lang string, source string, term string, docs long, n long"
 
 
 def chunk_blocks(docs: DataFrame) -> DataFrame:
-    """``BLOCKS`` of ``docs(lang, source, text)``: a row per distinct chunk of a block, and one without
-    a chunk that lists the groups of the block's documents.
+    """``BLOCKS`` of ``docs(lang, source, text)``: a row per distinct chunk of a block.
 
-    ``held`` are pairs of 32-bit numbers, document and occurrences.
+    ``held`` has the number (16 bits) of the document of every occurrence, in
+    order; ``docs`` counts the different ones. The row without a chunk lists the
+    groups of the block's documents instead.
     """
 
+    def block_of(batch: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
+        lists = pc.ascii_split_whitespace(column_array(batch, "text"))
+        coded = lists.flatten().dictionary_encode()
+        codes, many = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        order = np.argsort(codes, kind="stable")  # each chunk's occurrences are one stretch, by document
+        held, ends = owner[order].astype("<u2"), np.cumsum(np.bincount(codes, minlength=many))
+        starts = np.concatenate([[0], ends]).astype(np.int64)
+        new = np.ones(len(held), np.int64)
+        new[1:] = (held[1:] != held[:-1]) | (codes[order][1:] != codes[order][:-1])
+        seen = np.concatenate([[0], np.cumsum(new)])
+        docs = seen[starts[1:]] - seen[starts[:-1]]
+        number: dict[tuple[str, str], int] = {}
+        of_doc = [number.setdefault(x, len(number)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        head = json.dumps([list(number), of_doc]).encode()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block]), pa.nulls(1, pa.string()), pa.array([head], pa.binary()), pa.array([0])], names=["block", "chunk", "held", "docs"]
+        )
+        for at in range(0, many, 10_000):
+            upto = min(many, at + 10_000)
+            raw = pa.py_buffer(held[starts[at] : starts[upto]].tobytes())
+            offsets = pa.array(2 * (starts[at : upto + 1] - starts[at]), pa.int32())
+            payload = pa.Array.from_buffers(pa.binary(), upto - at, [None, offsets.buffers()[1], raw])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(upto - at, block)), coded.dictionary[at:upto], payload, pa.array(docs[at:upto])], names=["block", "chunk", "held", "docs"]
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = pc.ascii_split_whitespace(column_array(batch, "text"))
-            coded = lists.flatten().dictionary_encode()
-            codes, many = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            # Sorted by chunk, then document: each chunk's pairs are one stretch.
-            pairs, times = np.unique(codes * batch.num_rows + owner, return_counts=True)
-            held = np.column_stack([pairs % batch.num_rows, times]).astype("<u4")
-            starts = np.searchsorted(pairs // batch.num_rows, np.arange(len(coded.dictionary) + 1))
-            raw = pa.py_buffer(held.tobytes())
-            offsets = pa.array(8 * starts, pa.int32())
-            payload = pa.Array.from_buffers(pa.binary(), len(coded.dictionary), [None, offsets.buffers()[1], raw])
-            groups = [pa.array([batch.column(i).to_pylist()], pa.list_(pa.string())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), *groups], names=["block", "chunk", "held", "langs", "sources"]
-            )
-            for at in range(0, len(payload), 10_000):
-                words = coded.dictionary[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(words), block)),
-                        words,
-                        pa.concat_arrays([payload[at : at + 10_000]]),
-                        *[pa.nulls(len(words), pa.list_(pa.string()))] * 2,
-                    ],
-                    names=["block", "chunk", "held", "langs", "sources"],
-                )
-            block += 1
+            for at in range(0, batch.num_rows, 1 << 16):
+                yield from block_of(batch.slice(at, 1 << 16), block)
+                block += 1
 
     return docs.select("lang", "source", "text").mapInArrow(run, BLOCKS)
 
@@ -81,53 +84,54 @@ def terms_of(chunk: Column) -> Column:
 
 
 def block_counts(table: pa.Table) -> pa.Table:
-    """``COUNTS`` of one block from its chunks, each with its terms."""
+    """``COUNTS`` of one block from its chunks, each with its terms (space between them)."""
     chunk = table.column("chunk").combine_chunks()
-    head = table.filter(chunk.is_null())
-    number: dict[tuple[str, str], int] = {}
-    pairs = zip(head.column("langs")[0].as_py(), head.column("sources")[0].as_py(), strict=True)
-    group_of = np.array([number.setdefault(x, len(number)) for x in pairs], np.int64)
-    groups = list(number)
+    groups, of_doc = json.loads(table.filter(chunk.is_null()).column("held")[0].as_py())
     rows = table.filter(chunk.is_valid())
-    held = [np.frombuffer(x, "<u4") for x in rows.column("held").to_pylist()]
-    terms = rows.column("terms").combine_chunks()
+    group_of, docs = np.array(of_doc, np.int64), len(of_doc)
+    flat = np.frombuffer(b"".join(rows.column("held").to_pylist()), "<u2").astype(np.int64)
+    size = pc.binary_length(rows.column("held")).to_numpy().astype(np.int64) // 2
+    starts = np.cumsum(size) - size
+    terms = pc.ascii_split_whitespace(rows.column("terms").combine_chunks())
     coded = terms.flatten().dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     of_row = np.repeat(np.arange(len(rows)), np.diff(terms.offsets.to_numpy()))
-    pairs = np.array([len(x) // 2 for x in held], np.int64)
-    flat = np.concatenate([*held, np.zeros(0, "<u4")]).astype(np.int64).reshape(-1, 2)
-    starts = np.cumsum(pairs) - pairs
-    # Every term of a chunk takes all the chunk's pairs.
-    each = pairs[of_row]
+    # Every term of a chunk takes all the chunk's occurrences.
+    each = size[of_row]
     at = np.arange(each.sum()) + np.repeat(starts[of_row] - (np.cumsum(each) - each), each)
-    doc, n, term = flat[at, 0], flat[at, 1], np.repeat(code, each)
-    docs = len(group_of)
-    key, inverse = np.unique(term * docs + doc, return_inverse=True)
-    times = np.bincount(inverse, n).astype(np.int64)
-    wide = (key // docs) * len(groups) + group_of[key % docs]
-    kinds, inverse = np.unique(wide, return_inverse=True)
+    key, times = np.unique(np.repeat(code, each) * docs + flat[at], return_counts=True)
+    kinds, inverse = np.unique((key // docs) * len(groups) + group_of[key % docs], return_inverse=True)
     names = [groups[g] for g in (kinds % len(groups)).tolist()]
     return pa.table(
         {
             "lang": pa.array([x for x, _ in names], pa.string()),
             "source": pa.array([y for _, y in names], pa.string()),
             "term": coded.dictionary.take(pa.array(kinds // len(groups))),
-            "docs": np.bincount(inverse).astype(np.int64),
-            "n": np.bincount(inverse, times).astype(np.int64),
+            "docs": np.bincount(inverse, minlength=len(kinds)).astype(np.int64),
+            "n": np.bincount(inverse, times, minlength=len(kinds)).astype(np.int64),
         }
     )
 
 
-def term_counts(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``COUNTS`` of ``docs(lang, source, text)``: distinct documents and occurrences of every term a group."""
+def term_counts(docs: DataFrame, least_documents: int, scratch: Scratch) -> DataFrame:
+    """``COUNTS`` of ``docs(lang, source, text)``: distinct documents and occurrences of terms, by group.
+
+    A term whose chunks have fewer than ``least_documents`` documents between
+    them cannot be kept, so it is left out before its chunks' lists are moved.
+    """
     blocks = scratch.keep(chunk_blocks(docs))
-    dictionary = scratch.keep(
-        blocks.filter("chunk IS NOT NULL").select("chunk").distinct().select(F.col("chunk").alias("word"), terms_of(F.col("chunk")).alias("terms")).filter("size(terms) > 0")
+    words = blocks.filter("chunk IS NOT NULL").groupBy(F.col("chunk").alias("word")).agg(F.sum("docs").alias("held_by"))
+    dictionary = scratch.keep(words.select("word", "held_by", terms_of(F.col("word")).alias("terms")).filter("size(terms) > 0"))
+    each = dictionary.select("word", "held_by", F.explode("terms").alias("term"))
+    often = scratch.keep(
+        each.distinct().groupBy("term").agg(F.sum("held_by").alias("d")).filter(F.col("d") >= least_documents).select("term")
     )
-    back = blocks.join(dictionary, F.col("chunk") == F.col("word"), "left").filter("terms IS NOT NULL OR chunk IS NULL")
-    each = back.select("block", "chunk", "held", "terms", "langs", "sources").groupBy("block").applyInArrow(block_counts, COUNTS)
-    out = scratch.keep(each.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
-    scratch.drop(blocks, dictionary)
+    useful = scratch.keep(each.join(often, "term").groupBy("word").agg(F.array_join(F.collect_list("term"), " ").alias("terms")))
+    scratch.drop(dictionary, often)
+    back = blocks.join(useful, F.col("chunk") == F.col("word"), "left").filter("terms IS NOT NULL OR chunk IS NULL")
+    told = back.select("block", "chunk", "held", "terms").groupBy("block").applyInArrow(block_counts, COUNTS)
+    out = scratch.keep(told.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+    scratch.drop(blocks, useful)
     return out
 
 
@@ -163,7 +167,7 @@ def divergence(
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(text_or_empty(f"`{lang}`").alias("lang"), text_or_empty(f"`{source}`").alias("source"), text_or_empty(f"`{text}`").alias("text"))
-    counts = term_counts(rows, scratch)
+    counts = term_counts(rows, least_documents, scratch)
     by_lang = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"))
     kept_terms = scratch.keep(by_lang.filter(F.col("docs") >= least_documents).select("lang", "term", "n_lang"))
     langs = kept_terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))

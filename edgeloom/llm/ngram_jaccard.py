@@ -107,7 +107,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     nodes = scratch.keep(nodes_of(rows.filter("n > 0")))
     one = rows.join(nodes.select(F.col("key").alias("rid")), "rid", "left_semi")
     spread = one.select(F.explode("tokens").alias("token"), F.col("rid").alias("key"), "n")
-    star = joined(spread, sets_of(docs, nodes, text, doc_id, words), limit, scratch)
+    star = joined(spread, sets_of(docs, nodes, text, doc_id, words, scratch), limit, scratch)
     rooted = scratch.keep(
         nodes.join(star.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select(
             "n", "d1", "d2", "least", F.coalesce("root", "key").alias("root")

@@ -149,8 +149,8 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return agg.select(F.col("r.rid").alias("key"), F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "n", "d1", "d2", "mark", "least")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, words: int) -> Callable[[DataFrame], DataFrame]:
-    """A function from a table of ``key`` to ``(key, shingles)``, read from the texts of just those nodes."""
+def sets_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, words: int, scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
+    """A function from a table of ``key`` to the kept ``(key, shingles)``, read from the texts of just those nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,11 +164,14 @@ def sets_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, words: in
                 yield pa.RecordBatch.from_arrays(out, names=["key", "shingles"]).filter(pa.array(same, pa.bool_()))
 
     def sets(keys: DataFrame) -> DataFrame:
-        wanted = nodes.join(keys, "key", "left_semi").select("key", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "n", "d1")
+        # Written, its size is known: a small table is sent to the texts, which then are not shuffled.
+        wanted = scratch.keep(nodes.join(keys, "key", "left_semi").select("key", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "n", "d1"))
         have = docs.select(F.col(f"`{doc_id}`").alias("h_id"), text_or_empty(f"`{text}`").alias("text"))
         same = (F.xxhash64(have["text"]) == wanted["w_th"]) & have["h_id"].eqNullSafe(wanted["w_id"])
         rows = have.join(wanted, same).select("key", "n", "d1", "text").mapInArrow(run, "key long, shingles binary")
-        return rows.groupBy("key").agg(F.first("shingles").alias("shingles"))  # rows that repeat a document are one
+        out = scratch.keep(rows.groupBy("key").agg(F.first("shingles").alias("shingles")))  # rows that repeat a document are one
+        scratch.drop(wanted)
+        return out
 
     return sets
 
@@ -189,7 +192,7 @@ def star_links(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], limit:
     ``a``'s set comes once, then every ``b`` of it streams past; a hot ``a`` is
     dealt to several tasks. Sets of texts in no pair are not read.
     """
-    have = scratch.keep(sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+    have = sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
     dealt = pairs.join(blocks, "a")
     own = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("key"), F.lit(0).alias("turn"))
@@ -321,7 +324,7 @@ def joined(spread: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Sim
     mine = many.filter("group <> top").select("token", "key", "group", F.lit(True).alias("own"), at("parts", 1).alias("i"), upto("blocks").alias("j"))
     rest = many.select("token", "key", "group", F.lit(False).alias("own"), upto("parts").alias("i"), at("blocks", 2).alias("j"))
     cells = scratch.keep(mine.unionByName(rest))
-    have = scratch.keep(sets(cells.select("key").distinct()))
+    have = sets(cells.select("key").distinct())
     full = scratch.keep(
         cells.join(have, "key").groupBy("token", "i", "j").applyInArrow(lambda t: cell_links(t, limit), "u long, v long")
     )
