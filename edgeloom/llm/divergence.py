@@ -1,11 +1,12 @@
 """How far each source's words are from its language's, by chunk factorization.
 
 A chunk is what white space separates. Texts are taken in blocks: a block lists
-each of its chunks once, with the documents that hold it and how often. Every
-globally distinct chunk is tokenized once; its terms are joined back to the
-blocks' lists, and a block, which has its documents to itself, counts distinct
-documents and occurrences of its terms. So a chunk that all documents share is
-one row a block, and counts add up over blocks.
+each of its chunks once, under a number, and keeps apart which documents hold it
+and how often. Every globally distinct chunk is tokenized once; the numbers of
+its terms are joined back to the blocks' lists, and a block, which has its
+documents to itself, counts distinct documents and occurrences of its terms. So
+a chunk that all documents share is one row a block, and counts add up over
+blocks.
 """
 
 from __future__ import annotations
@@ -27,44 +28,45 @@ LEAST_DOCUMENTS = 10
 TOP = 10
 UNIT = 1_000_000_000
 
-BLOCKS = "block long, chunk string, held binary, docs long"
-COUNTS = "lang string, source string, term string, docs long, n long"
+BLOCKS = "block long, code int, chunk string, docs int, held binary"
+COUNTS = "lang string, source string, term long, docs long, n long"
+#: Chunks whose documents are one row.
+SLAB = 10_000
 
 
 def chunk_blocks(docs: DataFrame) -> DataFrame:
-    """``BLOCKS`` of ``docs(lang, source, text)``: a row per distinct chunk of a block.
+    """``BLOCKS`` of ``docs(lang, source, text)``: a row per distinct chunk of a block, with its number and documents.
 
-    ``held`` has the number (16 bits) of the document of every occurrence, in
-    order; ``docs`` counts the different ones. The row without a chunk lists the
-    groups of the block's documents instead.
+    Rows without a chunk have for a slab of chunks, the first of them number
+    ``code``, their number, how many occurrences each has (32 bits) and in which
+    documents (16 bits an occurrence). Code -1 lists the documents' groups.
     """
 
     def block_of(batch: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
+        def rows(code, chunk, docs, held) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), block)), code, chunk, docs, held], names=["block", "code", "chunk", "docs", "held"])
+
         lists = pc.ascii_split_whitespace(column_array(batch, "text"))
         coded = lists.flatten().dictionary_encode()
-        codes, many = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        codes, many = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+        owner = np.repeat(np.arange(batch.num_rows, dtype="<u2"), np.diff(lists.offsets.to_numpy()))
         order = np.argsort(codes, kind="stable")  # each chunk's occurrences are one stretch, by document
-        held, ends = owner[order].astype("<u2"), np.cumsum(np.bincount(codes, minlength=many))
-        starts = np.concatenate([[0], ends]).astype(np.int64)
-        new = np.ones(len(held), np.int64)
-        new[1:] = (held[1:] != held[:-1]) | (codes[order][1:] != codes[order][:-1])
-        seen = np.concatenate([[0], np.cumsum(new)])
-        docs = seen[starts[1:]] - seen[starts[:-1]]
+        held, codes = owner[order], codes[order]
+        sizes = np.bincount(codes, minlength=many).astype("<u4")
+        starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        new = np.ones(len(held), bool)
+        new[1:] = (held[1:] != held[:-1]) | (codes[1:] != codes[:-1])
+        docs = np.bincount(codes[new], minlength=many).astype(np.int32)
         number: dict[tuple[str, str], int] = {}
         of_doc = [number.setdefault(x, len(number)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        head = json.dumps([list(number), of_doc]).encode()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.nulls(1, pa.string()), pa.array([head], pa.binary()), pa.array([0])], names=["block", "chunk", "held", "docs"]
-        )
-        for at in range(0, many, 10_000):
-            upto = min(many, at + 10_000)
-            raw = pa.py_buffer(held[starts[at] : starts[upto]].tobytes())
-            offsets = pa.array(2 * (starts[at : upto + 1] - starts[at]), pa.int32())
-            payload = pa.Array.from_buffers(pa.binary(), upto - at, [None, offsets.buffers()[1], raw])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(upto - at, block)), coded.dictionary[at:upto], payload, pa.array(docs[at:upto])], names=["block", "chunk", "held", "docs"]
-            )
+        slabs, kept = [-1], [json.dumps([list(number), of_doc]).encode()]
+        for at in range(0, many, SLAB):
+            upto = min(many, at + SLAB)
+            slabs.append(at)
+            kept.append(np.array([upto - at], "<u4").tobytes() + sizes[at:upto].tobytes() + held[starts[at] : starts[upto]].tobytes())
+            yield rows(pa.array(np.arange(at, upto, dtype=np.int32)), coded.dictionary[at:upto], pa.array(docs[at:upto]), pa.nulls(upto - at, pa.binary()))
+        n = len(slabs)
+        yield rows(pa.array(slabs, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(kept, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -84,55 +86,63 @@ def terms_of(chunk: Column) -> Column:
 
 
 def block_counts(table: pa.Table) -> pa.Table:
-    """``COUNTS`` of one block from its chunks, each with its terms (space between them)."""
-    chunk = table.column("chunk").combine_chunks()
-    groups, of_doc = json.loads(table.filter(chunk.is_null()).column("held")[0].as_py())
-    rows = table.filter(chunk.is_valid())
+    """``COUNTS`` of one block from rows ``block, code, term, held``: terms of its chunks, and its slabs."""
+    code, term = table.column("code").to_numpy(), table.column("term")
+    slab = np.flatnonzero(term.is_null().to_numpy())
+    slab = slab[np.argsort(code[slab])]
+    stored = table.column("held").take(pa.array(slab)).to_pylist()
+    groups, of_doc = json.loads(stored[0])
     group_of, docs = np.array(of_doc, np.int64), len(of_doc)
-    flat = np.frombuffer(b"".join(rows.column("held").to_pylist()), "<u2").astype(np.int64)
-    size = pc.binary_length(rows.column("held")).to_numpy().astype(np.int64) // 2
+    sizes, flat = [np.zeros(0, "<u4")], [np.zeros(0, "<u2")]
+    for raw in stored[1:]:
+        many = int(np.frombuffer(raw, "<u4", 1)[0])
+        sizes.append(np.frombuffer(raw, "<u4", many, 4))
+        flat.append(np.frombuffer(raw, "<u2", offset=4 + 4 * many))
+    size, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flat)
     starts = np.cumsum(size) - size
-    terms = pc.ascii_split_whitespace(rows.column("terms").combine_chunks())
-    coded = terms.flatten().dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    of_row = np.repeat(np.arange(len(rows)), np.diff(terms.offsets.to_numpy()))
+    mine = term.is_valid().to_numpy()
+    chunk, term = code[mine].astype(np.int64), table.column("term").drop_null().to_numpy()
+    names, term = np.unique(term, return_inverse=True)
     # Every term of a chunk takes all the chunk's occurrences.
-    each = size[of_row]
-    at = np.arange(each.sum()) + np.repeat(starts[of_row] - (np.cumsum(each) - each), each)
-    key, times = np.unique(np.repeat(code, each) * docs + flat[at], return_counts=True)
+    each = size[chunk]
+    place = np.arange(each.sum()) + np.repeat(starts[chunk] - (np.cumsum(each) - each), each)
+    key, times = np.unique(np.repeat(term.astype(np.int64), each) * docs + flat[place], return_counts=True)
     kinds, inverse = np.unique((key // docs) * len(groups) + group_of[key % docs], return_inverse=True)
-    names = [groups[g] for g in (kinds % len(groups)).tolist()]
+    said = [pa.array([g[i] for g in groups], pa.string()).take(pa.array(kinds % len(groups))) for i in (0, 1)]
     return pa.table(
         {
-            "lang": pa.array([x for x, _ in names], pa.string()),
-            "source": pa.array([y for _, y in names], pa.string()),
-            "term": coded.dictionary.take(pa.array(kinds // len(groups))),
+            "lang": said[0],
+            "source": said[1],
+            "term": names[kinds // len(groups)],
             "docs": np.bincount(inverse, minlength=len(kinds)).astype(np.int64),
             "n": np.bincount(inverse, times, minlength=len(kinds)).astype(np.int64),
         }
     )
 
 
-def term_counts(docs: DataFrame, least_documents: int, scratch: Scratch) -> DataFrame:
-    """``COUNTS`` of ``docs(lang, source, text)``: distinct documents and occurrences of terms, by group.
+def term_counts(docs: DataFrame, least_documents: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Kept ``COUNTS`` of ``docs(lang, source, text)``, terms by number, and kept ``(term, item)`` that names them.
 
     A term whose chunks have fewer than ``least_documents`` documents between
-    them cannot be kept, so it is left out before its chunks' lists are moved.
+    them cannot be kept, so it is left out before its chunks are looked up.
     """
     blocks = scratch.keep(chunk_blocks(docs))
     words = blocks.filter("chunk IS NOT NULL").groupBy(F.col("chunk").alias("word")).agg(F.sum("docs").alias("held_by"))
     dictionary = scratch.keep(words.select("word", "held_by", terms_of(F.col("word")).alias("terms")).filter("size(terms) > 0"))
-    each = dictionary.select("word", "held_by", F.explode("terms").alias("term"))
-    often = scratch.keep(
-        each.distinct().groupBy("term").agg(F.sum("held_by").alias("d")).filter(F.col("d") >= least_documents).select("term")
+    once = dictionary.select("held_by", F.explode(F.array_distinct("terms")).alias("item"))
+    often = once.groupBy("item").agg(F.sum("held_by").alias("d")).filter(F.col("d") >= least_documents)
+    named = scratch.keep(often.select(F.monotonically_increasing_id().alias("term"), "item"))
+    useful = scratch.keep(dictionary.select("word", F.explode("terms").alias("item")).join(named, "item").select("word", "term"))
+    scratch.drop(dictionary)
+    found = blocks.filter("chunk IS NOT NULL").select("block", "code", "chunk").join(useful, F.col("chunk") == F.col("word"))
+    none = F.lit(None)
+    rows = found.select("block", "code", "term", none.cast("binary").alias("held")).unionByName(
+        blocks.filter("chunk IS NULL").select("block", "code", none.cast("long").alias("term"), "held")
     )
-    useful = scratch.keep(each.join(often, "term").groupBy("word").agg(F.array_join(F.collect_list("term"), " ").alias("terms")))
-    scratch.drop(dictionary, often)
-    back = blocks.join(useful, F.col("chunk") == F.col("word"), "left").filter("terms IS NOT NULL OR chunk IS NULL")
-    told = back.select("block", "chunk", "held", "terms").groupBy("block").applyInArrow(block_counts, COUNTS)
+    told = rows.groupBy("block").applyInArrow(block_counts, COUNTS)
     out = scratch.keep(told.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
     scratch.drop(blocks, useful)
-    return out
+    return out, named
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -167,7 +177,7 @@ def divergence(
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(text_or_empty(f"`{lang}`").alias("lang"), text_or_empty(f"`{source}`").alias("source"), text_or_empty(f"`{text}`").alias("text"))
-    counts = term_counts(rows, least_documents, scratch)
+    counts, named = term_counts(rows, least_documents, scratch)
     by_lang = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"))
     kept_terms = scratch.keep(by_lang.filter(F.col("docs") >= least_documents).select("lang", "term", "n_lang"))
     langs = kept_terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
@@ -227,7 +237,11 @@ def divergence(
     mirrored = distance.select(
         "lang", F.explode(F.array(F.struct(c("source_x").alias("source"), c("source_y").alias("item")), F.struct(c("source_y").alias("source"), c("source_x").alias("item")))).alias("s"), "value"
     ).select("lang", "s.source", F.lit("pair").alias("part"), "s.item", "value")
-    above = scaled.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap(c("p"), c("q")).alias("value"))
+    above = (
+        scaled.filter("p > q")
+        .join(named, "term")
+        .select("lang", "source", F.lit("term").alias("part"), "item", gap(c("p"), c("q")).alias("value"))
+    )
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     best = above.withColumn("rank", place).filter(c("rank") <= top)
     return mirrored.withColumn("rank", place).unionByName(best)

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import Scratch, column_array, split_words, text_or_empty
@@ -250,6 +250,18 @@ def cell_links(table: pa.Table, limit: Similarity) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def cost(c: str, others: str) -> Column:
+    """Rows of the cells of ``c`` texts, ``others`` of them outside the largest component."""
+    return F.col(others) * F.ceil(F.col(c) / CELL) + F.col(c) * F.ceil(F.col(others) / CELL)
+
+
+def divided(rows: DataFrame, unit: str) -> DataFrame:
+    """Per unit its texts ``c``, its largest component ``top``, the texts outside it and the ``least`` key."""
+    shares = rows.groupBy(unit, "group").agg(F.count("*").alias("m"), F.min("key").alias("least"))
+    agg = shares.groupBy(unit).agg(F.sum("m").alias("c"), F.max(F.struct("m", "group")).alias("top"), F.min("least").alias("least"))
+    return agg.select(unit, "c", F.col("top.group").alias("top"), (F.col("c") - F.col("top.m")).alias("others"), "least")
+
+
 def joined(spread: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Similarity, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
     """``(u, v)``: every node but the smallest of its component, with that one.
 
@@ -296,14 +308,8 @@ def joined(spread: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Sim
 
     labelled = scratch.keep(grouped(members, links))
     scratch.drop(members)
-    shares = labelled.groupBy("token", "group").agg(F.count("*").alias("m"))
-    open_ = scratch.keep(
-        shares.groupBy("token")
-        .agg(F.sum("m").alias("c"), F.max(F.struct("m", "group")).alias("top"), F.count("*").alias("groups"))
-        .filter("groups > 1")
-        .select("token", F.col("top.group").alias("top"), (F.col("c") - F.col("top.m")).alias("others"))
-    )
-    todo = scratch.keep(labelled.join(open_, "token"))
+    open_ = scratch.keep(divided(labelled, "token").filter("others > 0"))
+    todo = scratch.keep(labelled.join(open_.drop("c"), "token"))
     scratch.drop(labelled, open_)
 
     few = todo.filter(f"c <= {FEW}").select("token", "key", "n", "group")
@@ -317,16 +323,34 @@ def joined(spread: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Sim
     )
     some = star_links(short, sets, limit, scratch)
 
-    # In a long list what is not in its largest component meets everything, in cells.
-    many = todo.filter(f"c > {FEW}").withColumns({"parts": F.ceil(F.col("others") / CELL), "blocks": F.ceil(F.col("c") / CELL)})
+    # Long lists with common texts are an area; it is compared as a whole where that takes fewer rows than its lists do.
+    many = scratch.keep(todo.filter(f"c > {FEW}").select("token", "key", "group", "c", "top", "others", "least"))
+    chain = scratch.keep(many.select(F.col("key").alias("u"), F.col("least").alias("v")).distinct())
+    area = components(chain, scratch).select(F.col("u").alias("key"), F.col("v").alias("area"))
+    placed = scratch.keep(many.join(area, "key", "left").withColumn("area", F.coalesce("area", "key")))
+    one_by_one = placed.groupBy("area").agg(F.sum(cost("c", "others") / F.col("c")).alias("apart"))
+    whole = divided(placed.select("area", "key", "group").distinct(), "area")
+    together = scratch.keep(whole.join(one_by_one, "area").filter(cost("c", "others") <= F.col("apart")).drop("apart", "least"))
+    units = (
+        placed.join(together.select("area"), "area", "left_anti")
+        .select(F.col("token").alias("unit"), F.lit(0).alias("kind"), "key", "group", "c", "top", "others")
+        .unionByName(
+            placed.select("area", "key", "group")
+            .distinct()
+            .join(together, "area")
+            .select(F.col("area").alias("unit"), F.lit(1).alias("kind"), "key", "group", "c", "top", "others")
+        )
+    ).withColumns({"parts": F.ceil(F.col("others") / CELL), "blocks": F.ceil(F.col("c") / CELL)})
+    # What is not in the largest component meets everything, in cells.
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     at = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n))
-    mine = many.filter("group <> top").select("token", "key", "group", F.lit(True).alias("own"), at("parts", 1).alias("i"), upto("blocks").alias("j"))
-    rest = many.select("token", "key", "group", F.lit(False).alias("own"), upto("parts").alias("i"), at("blocks", 2).alias("j"))
+    mine = units.filter("group <> top").select("unit", "kind", "key", "group", F.lit(True).alias("own"), at("parts", 1).alias("i"), upto("blocks").alias("j"))
+    rest = units.select("unit", "kind", "key", "group", F.lit(False).alias("own"), upto("parts").alias("i"), at("blocks", 2).alias("j"))
     cells = scratch.keep(mine.unionByName(rest))
+    scratch.drop(many, chain, placed, together)
     have = sets(cells.select("key").distinct())
     full = scratch.keep(
-        cells.join(have, "key").groupBy("token", "i", "j").applyInArrow(lambda t: cell_links(t, limit), "u long, v long")
+        cells.join(have, "key").groupBy("unit", "kind", "i", "j").applyInArrow(lambda t: cell_links(t, limit), "u long, v long")
     )
     scratch.drop(todo, short, cells, have)
     out = components(links.unionByName(some).unionByName(full), scratch)
