@@ -134,14 +134,17 @@ def term_counts(docs: DataFrame, least_documents: int, scratch: Scratch) -> tupl
     named = scratch.keep(often.select(F.monotonically_increasing_id().alias("term"), "item"))
     useful = scratch.keep(dictionary.select("word", F.explode("terms").alias("item")).join(named, "item").select("word", "term"))
     scratch.drop(dictionary)
-    found = blocks.filter("chunk IS NOT NULL").select("block", "code", "chunk").join(useful, F.col("chunk") == F.col("word"))
+    # A table after each shuffle: its files go before the next one writes.
+    listed = blocks.filter("chunk IS NOT NULL").select("block", "code", "chunk")
+    found = scratch.keep(listed.join(useful, F.col("chunk") == F.col("word")).select("block", "code", "term"))
     none = F.lit(None)
-    rows = found.select("block", "code", "term", none.cast("binary").alias("held")).unionByName(
+    rows = found.withColumn("held", none.cast("binary")).unionByName(
         blocks.filter("chunk IS NULL").select("block", "code", none.cast("long").alias("term"), "held")
     )
-    told = rows.groupBy("block").applyInArrow(block_counts, COUNTS)
+    told = scratch.keep(rows.groupBy("block").applyInArrow(block_counts, COUNTS))
+    scratch.drop(blocks, useful, found)
     out = scratch.keep(told.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
-    scratch.drop(blocks, useful)
+    scratch.drop(told)
     return out, named
 
 

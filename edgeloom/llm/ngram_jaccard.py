@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import Scratch, query, read
-from edgeloom.llm.setjoin import ODD, Similarity, emit, joined, mix64, nodes_of, sets_of
+from edgeloom.llm.setjoin import ODD, Similarity, emit, joined, mix64, nodes_of, sets_of, split_off
 
 WORDS = 4
 LIMIT = Similarity(85, 100)
@@ -104,10 +104,9 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(emit(docs, text, doc_id, words, lambda sets: signatures(sets, limit)))
-    nodes = scratch.keep(nodes_of(rows.filter("n > 0")))
-    one = rows.join(nodes.select(F.col("key").alias("rid")), "rid", "left_semi")
-    spread = one.select(F.explode("tokens").alias("token"), F.col("rid").alias("key"), "n")
-    star = joined(spread, sets_of(docs, nodes, text, doc_id, words, scratch), limit, scratch)
+    heads = split_off(rows, scratch)
+    nodes = scratch.keep(nodes_of(heads.filter("n > 0")))
+    star = joined(rows, heads, nodes, sets_of(docs, nodes, text, doc_id, words, scratch), limit, scratch)
     rooted = scratch.keep(
         nodes.join(star.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select(
             "n", "d1", "d2", "least", F.coalesce("root", "key").alias("root")
@@ -116,8 +115,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.keep(rooted.join(smallest, "root").select("n", "d1", "d2", "component_id"))
     return (
-        rows.filter("part = 0")
-        .select("doc_id", "n", "d1", "d2")
+        heads.select("doc_id", "n", "d1", "d2")
         .join(named, ["n", "d1", "d2"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )

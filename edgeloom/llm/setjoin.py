@@ -8,10 +8,12 @@ list is ever expanded into all its pairs unless it is short:
 1. lists with the same members are one list;
 2. each member is compared with its list's leader, the member with the most
    company over all lists (an original among its copies);
-3. lists still in several components are compared in full, in cells of bounded
-   size, and only between members of different components.
+3. lists still in several components are compared in full: short ones by pairs,
+   long ones with their leader's other lists, in cells of bounded size, and only
+   between members of different components.
 
-Only the shingle sets of texts that are in some pair are moved.
+Pairs are screened first by sketches that bound their intersection from above;
+only the shingle sets of texts in the pairs that are left are moved.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import Scratch, column_array, split_words, text_or_empty
@@ -33,6 +35,8 @@ from edgeloom.llm.simhash import components
 FEW = 8
 #: Texts on either side of a cell.
 CELL = 2048
+#: Counts of a sketch; a count of 255 stands for any larger one.
+SKETCH = 256
 #: Tokens a row carries; more of one text take more rows.
 TOKENS_A_ROW = 100_000
 
@@ -88,18 +92,30 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of SKETCH classes."""
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, limit: Similarity) -> np.ndarray:
+    """Whether sets with these sketches (rows) can be similar: no class has more in common than its lesser count."""
+    least = np.minimum(a, b)
+    most = least.sum(axis=1, dtype=np.int64)
+    return limit.reached(most, size_a, size_b) | (least == 255).any(axis=1)
+
+
 #: Tokens ``(owner, token)`` of many sets at once.
 Tokens = Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
 
 
 def emit(docs: DataFrame, text: str, doc_id: str, words: int, tokens: Tokens, marks: Callable | None = None) -> DataFrame:
-    """One row a text (more when it has many tokens): ``rid, doc_id, th, n, d1, d2, mark, part, tokens``.
+    """One row a text (more when it has many tokens): ``rid, doc_id, th, n, d1, d2, mark, sketch, part, tokens``.
 
     ``rid`` numbers the rows of ``docs``; ``d1, d2`` digest the set, ``th`` the
     text; ``mark`` is what ``marks`` makes of a set, else 0.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    shape = f"rid long, doc_id {kind}, th long, n long, d1 long, d2 long, mark long, part int, tokens array<long>"
+    shape = f"rid long, doc_id {kind}, th long, n long, d1 long, d2 long, mark long, sketch binary, part int, tokens array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,10 +143,11 @@ def emit(docs: DataFrame, text: str, doc_id: str, words: int, tokens: Tokens, ma
                 [
                     *[batch.column(c).take(take) for c in (0, 1, 2)],
                     *[pa.array(head[c], pa.int64()).take(take) for c in ("n", "d1", "d2", "mark")],
+                    pa.array([sketch(s) for s in sets], pa.binary()).take(take),
                     pa.array(part, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(token, pa.int64())),
                 ],
-                names=["rid", "doc_id", "th", "n", "d1", "d2", "mark", "part", "tokens"],
+                names=["rid", "doc_id", "th", "n", "d1", "d2", "mark", "sketch", "part", "tokens"],
             )
 
     rows = docs.select(
@@ -143,10 +160,15 @@ def emit(docs: DataFrame, text: str, doc_id: str, words: int, tokens: Tokens, ma
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """Distinct sets of a kept ``emit``: ``key, doc_id, th`` of one text, ``n, d1, d2, mark``, the ``least`` doc_id."""
-    one = rows.filter("part = 0").groupBy("n", "d1", "d2")
-    agg = one.agg(F.min(F.struct("rid", "doc_id", "th")).alias("r"), F.min("doc_id").alias("least"), F.min("mark").alias("mark"))
-    return agg.select(F.col("r.rid").alias("key"), F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "n", "d1", "d2", "mark", "least")
+    """Distinct sets of ``split_off``: ``key, doc_id, th`` of one text, ``n, d1, d2, mark``, the ``least`` doc_id."""
+    one = rows.groupBy("n", "d1", "d2")
+    agg = one.agg(F.min(F.struct("rid", "doc_id", "th", "sketch")).alias("r"), F.min("doc_id").alias("least"), F.min("mark").alias("mark"))
+    return agg.select(F.col("r.rid").alias("key"), F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "n", "d1", "d2", "mark", F.col("r.sketch").alias("sketch"), "least")
+
+
+def split_off(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """What is read of a kept ``emit`` to the end, one row a text: kept without the tokens."""
+    return scratch.keep(rows.filter("part = 0").drop("part", "tokens"))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, words: int, scratch: Scratch) -> Callable[[DataFrame], DataFrame]:
@@ -186,6 +208,23 @@ def in_common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
+def screened(pairs: DataFrame, nodes: DataFrame, limit: Similarity, scratch: Scratch) -> DataFrame:
+    """The kept pairs ``(a, b)`` that sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+                ok = may_reach(a, b, batch.column(4).to_numpy(), batch.column(5).to_numpy(), limit)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok))
+
+    x, y = (nodes.select(F.col("key").alias(k), F.col("sketch").alias("s" + k), F.col("n").alias("n" + k)) for k in ("a", "b"))
+    rows = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", "na", "nb")
+    out = scratch.keep(rows.mapInArrow(run, "a long, b long"))
+    scratch.drop(pairs)
+    return out
+
+
 def star_links(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Similarity, scratch: Scratch) -> DataFrame:
     """The pairs ``(a, b)`` of a kept table that are similar, as kept ``(u, v)``.
 
@@ -250,28 +289,29 @@ def cell_links(table: pa.Table, limit: Similarity) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def cost(c: str, others: str) -> Column:
-    """Rows of the cells of ``c`` texts, ``others`` of them outside the largest component."""
-    return F.col(others) * F.ceil(F.col(c) / CELL) + F.col(c) * F.ceil(F.col(others) / CELL)
-
-
 def divided(rows: DataFrame, unit: str) -> DataFrame:
-    """Per unit its texts ``c``, its largest component ``top``, the texts outside it and the ``least`` key."""
-    shares = rows.groupBy(unit, "group").agg(F.count("*").alias("m"), F.min("key").alias("least"))
-    agg = shares.groupBy(unit).agg(F.sum("m").alias("c"), F.max(F.struct("m", "group")).alias("top"), F.min("least").alias("least"))
-    return agg.select(unit, "c", F.col("top.group").alias("top"), (F.col("c") - F.col("top.m")).alias("others"), "least")
+    """Per unit its texts ``c``, its largest component ``top`` and the texts outside it."""
+    shares = rows.groupBy(unit, "group").agg(F.count("*").alias("m"))
+    agg = shares.groupBy(unit).agg(F.sum("m").alias("c"), F.max(F.struct("m", "group")).alias("top"))
+    return agg.select(unit, "c", F.col("top.group").alias("top"), (F.col("c") - F.col("top.m")).alias("others"))
 
 
-def joined(spread: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Similarity, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
+def joined(
+    rows: DataFrame, heads: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Similarity, scratch: Scratch, known: DataFrame | None = None
+) -> DataFrame:
     """``(u, v)``: every node but the smallest of its component, with that one.
 
-    ``spread(token, key, n)`` lists the tokens of the nodes (n: size of the
-    set); ``known`` are links ``(u, v)`` already found. The components are those
-    of all similar pairs of nodes that share a token.
+    ``rows`` is a kept ``emit`` (dropped here) with its ``heads`` and ``nodes``;
+    ``known`` are links ``(u, v)`` already found. The components are those of
+    all similar pairs of nodes that share a token.
     """
+    # Copies of a set are fewer than sets, so the table that may travel to the tokens is that of the copies.
+    copies = scratch.keep(heads.select("rid").join(nodes.select(F.col("key").alias("rid")), "rid", "left_anti"))
+    one = rows.join(copies, "rid", "left_anti")
+    spread = one.select(F.explode("tokens").alias("token"), F.col("rid").alias("key"), "n")
     shared = scratch.keep(spread.groupBy("token").count().filter("count > 1").select("token"))
     raw = scratch.keep(spread.join(shared, "token").select("token", "key", "n"))
-    scratch.drop(shared)
+    scratch.drop(shared, rows, copies)
     each = raw.groupBy("token").agg(
         F.count("*").alias("c"),
         F.bit_xor(F.xxhash64("key")).alias("x"),
@@ -292,7 +332,7 @@ def joined(spread: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Sim
 
     weight = members.groupBy("key").agg(F.sum("c").alias("w"))
     ranked = scratch.keep(grouped(members.join(weight, "key"), known))
-    leaders = ranked.groupBy("token").agg(F.max(F.struct("w", "key", "n", "group")).alias("lead"))
+    leaders = scratch.keep(ranked.groupBy("token").agg(F.max(F.struct("w", "key", "n", "group")).alias("lead")))
     pairs = scratch.keep(
         ranked.join(leaders, "token")
         .filter("group <> lead.group")
@@ -300,7 +340,7 @@ def joined(spread: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Sim
         .select(F.col("lead.key").alias("a"), F.col("key").alias("b"))
         .distinct()
     )
-    scratch.drop(ranked)
+    pairs = screened(pairs, nodes, limit, scratch)
     links = star_links(pairs, sets, limit, scratch)
     scratch.drop(pairs)
     if known is not None:
@@ -308,9 +348,9 @@ def joined(spread: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Sim
 
     labelled = scratch.keep(grouped(members, links))
     scratch.drop(members)
-    open_ = scratch.keep(divided(labelled, "token").filter("others > 0"))
-    todo = scratch.keep(labelled.join(open_.drop("c"), "token"))
-    scratch.drop(labelled, open_)
+    open_ = scratch.keep(divided(labelled, "token").filter("others > 0").join(leaders.select("token", F.col("lead.key").alias("unit")), "token"))
+    todo = scratch.keep(labelled.join(open_.select("token", "unit"), "token"))
+    scratch.drop(labelled, open_, ranked, leaders)
 
     few = todo.filter(f"c <= {FEW}").select("token", "key", "n", "group")
     one, two = (few.select("token", *[F.col(c).alias(c + s) for c in ("key", "n", "group")]) for s in ("_x", "_y"))
@@ -321,38 +361,25 @@ def joined(spread: DataFrame, sets: Callable[[DataFrame], DataFrame], limit: Sim
         .select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
         .distinct()
     )
+    short = screened(short, nodes, limit, scratch)
     some = star_links(short, sets, limit, scratch)
 
-    # Long lists with common texts are an area; it is compared as a whole where that takes fewer rows than its lists do.
-    many = scratch.keep(todo.filter(f"c > {FEW}").select("token", "key", "group", "c", "top", "others", "least"))
-    chain = scratch.keep(many.select(F.col("key").alias("u"), F.col("least").alias("v")).distinct())
-    area = components(chain, scratch).select(F.col("u").alias("key"), F.col("v").alias("area"))
-    placed = scratch.keep(many.join(area, "key", "left").withColumn("area", F.coalesce("area", "key")))
-    one_by_one = placed.groupBy("area").agg(F.sum(cost("c", "others") / F.col("c")).alias("apart"))
-    whole = divided(placed.select("area", "key", "group").distinct(), "area")
-    together = scratch.keep(whole.join(one_by_one, "area").filter(cost("c", "others") <= F.col("apart")).drop("apart", "least"))
-    units = (
-        placed.join(together.select("area"), "area", "left_anti")
-        .select(F.col("token").alias("unit"), F.lit(0).alias("kind"), "key", "group", "c", "top", "others")
-        .unionByName(
-            placed.select("area", "key", "group")
-            .distinct()
-            .join(together, "area")
-            .select(F.col("area").alias("unit"), F.lit(1).alias("kind"), "key", "group", "c", "top", "others")
-        )
-    ).withColumns({"parts": F.ceil(F.col("others") / CELL), "blocks": F.ceil(F.col("c") / CELL)})
+    many = scratch.keep(todo.filter(f"c > {FEW}").select("unit", "key", "group").distinct())
+    units = many.join(scratch.keep(divided(many, "unit").filter("others > 0")), "unit").withColumns(
+        {"parts": F.ceil(F.col("others") / CELL), "blocks": F.ceil(F.col("c") / CELL)}
+    )
     # What is not in the largest component meets everything, in cells.
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     at = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n))
-    mine = units.filter("group <> top").select("unit", "kind", "key", "group", F.lit(True).alias("own"), at("parts", 1).alias("i"), upto("blocks").alias("j"))
-    rest = units.select("unit", "kind", "key", "group", F.lit(False).alias("own"), upto("parts").alias("i"), at("blocks", 2).alias("j"))
+    mine = units.filter("group <> top").select("unit", "key", "group", F.lit(True).alias("own"), at("parts", 1).alias("i"), upto("blocks").alias("j"))
+    rest = units.select("unit", "key", "group", F.lit(False).alias("own"), upto("parts").alias("i"), at("blocks", 2).alias("j"))
     cells = scratch.keep(mine.unionByName(rest))
-    scratch.drop(many, chain, placed, together)
+    scratch.drop(todo, many)
     have = sets(cells.select("key").distinct())
     full = scratch.keep(
-        cells.join(have, "key").groupBy("unit", "kind", "i", "j").applyInArrow(lambda t: cell_links(t, limit), "u long, v long")
+        cells.join(have, "key").groupBy("unit", "i", "j").applyInArrow(lambda t: cell_links(t, limit), "u long, v long")
     )
-    scratch.drop(todo, short, cells, have)
+    scratch.drop(short, cells, have)
     out = components(links.unionByName(some).unionByName(full), scratch)
     scratch.drop(links, some, full)
     return out

@@ -3,7 +3,7 @@ import xxhash
 
 from edgeloom.llm import simhash as S
 from edgeloom.llm.common import QUERIES
-from edgeloom.llm.simhash import near_dedup_stage, near_duplicates, segment_marks
+from edgeloom.llm.near_dedup import near_dedup_stage
 from tests.llm.helpers import docs, folder, gibberish
 
 
@@ -117,14 +117,6 @@ def test_stage_keeps_one_of_each_group_and_clean_documents(spark):
     assert near_dedup_stage(spark, table, "").columns == table.columns
 
 
-def test_segments_begin_at_the_same_places_in_copies():
-    rng = np.random.default_rng(1)
-    text = gibberish(rng, 400)
-    a, _ = segment_marks(text, 5, 24, 99)
-    b, _ = segment_marks("quite another start " + text, 5, 24, 99)
-    assert len(set(a.tolist()) & set(b.tolist())) >= len(a) - 2
-
-
 def classes(texts):
     """Exact components of all pairs with 0.8 of their shingles in common."""
     sets = [shingles(t) for t in texts]
