@@ -29,8 +29,8 @@ from edgeloom.llm.common import (
 )
 
 ORDER = 4
-#: Hashed n-grams keep this many bits, so a model has at most languages × order × 2^KEY_BITS entries.
-KEY_BITS = 21
+#: Hashed n-grams keep this many bits: among ten million different ones, about 45 pairs share a hash.
+KEY_BITS = 40
 #: Every so many training rows one is not counted but calibrates; of a language at most
 #: CALIBRATION_ROWS do, the smallest hashes first.
 CALIBRATE_EVERY, CALIBRATION_ROWS = 10, 500
@@ -42,6 +42,7 @@ UNKNOWN = "und"
 
 START, END = ord("^"), ord("$")
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 GRAMS = "lang string, k int, key long, ctx long, suffix long, head boolean, n long"
@@ -73,12 +74,12 @@ def key_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def letters(words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Letter runs of white-space words in lower case, the word each is from, and runs a word."""
+    """Runs of letters and their marks in lower case, the word each is from, and runs a word; marks alone are none."""
     runs, owner = [], []
     for i, word in enumerate(words):
         low = word.decode().lower()
         for run in (low,) if low.isalpha() else NOT_LETTERS.split(low):
-            if run and not run.isspace():
+            if LETTER.search(run):
                 runs.append(run)
                 owner.append(i)
     return runs, np.array(owner, np.int64), np.bincount(owner, minlength=len(words)) if owner else np.zeros(len(words), np.int64)
@@ -231,7 +232,7 @@ def kneser_ney(counts: DataFrame, order: int, bits: int) -> DataFrame:
 
 
 def build(rows, langs: list[str], order: int, bits: int) -> Model:
-    """The model from the counts of ``kneser_ney`` (a pandas table, bounded by KEY_BITS)."""
+    """The model from the counts of ``kneser_ney`` (a pandas table of all different n-grams)."""
     model = Model(langs, order, bits)
     of = rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
     for k in range(1, order + 1):
@@ -342,11 +343,12 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: lis
     results = ["lang_pred", "score", "bits", "rejected"]
     kept = [f for f in docs.schema.fields if f.name.lower() not in results and (keep is None or f.name in keep)]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "lang_pred string, score double, bits double, rejected boolean"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most langs × order × 2^KEY_BITS entries
+    # Arrays and lists only: workers need not be able to import this module. As many entries as different n-grams.
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, own = column_array(batch, "_text"), shared.value
+            texts, own = column_array(batch, "_text"), None if shared.value is None else Model(**shared.value)
             if own is None:
                 n = batch.num_rows
                 got = {"lang": [UNKNOWN] * n, "score": np.zeros(n), "bits": np.full(n, np.nan), "rejected": np.ones(n, bool)}

@@ -29,6 +29,9 @@ PIECES_PER_TASK = 16_384
 #: Written between words that are tokenised together; a word holding it goes alone.
 BETWEEN = "\x01"
 
+#: Words a worker keeps with their ids before it starts anew, and the longest of them in bytes.
+KNOWN_WORDS, LONGEST_KNOWN = 400_000, 40
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -39,8 +42,8 @@ def tokenizer_file(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def ids_of_words(tok, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(starts, sizes, flat)``: word i has the token ids ``flat[starts[i]:starts[i] + sizes[i]]``.
+def encode_words(tok, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, sizes, flat)``, as ``ids_of_words`` has them, by the tokenizer.
 
     White space ends a word of this vocabulary and leaves no token, so a text
     has the ids of its words in turn; many words share one call, cut apart again
@@ -72,6 +75,35 @@ def ids_of_words(tok, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     return starts, sizes, np.concatenate([flat, *[np.array(x, "<u4") for x in lone]])
 
 
+def ids_of_words(tok, words: list[bytes], known: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, sizes, flat)``: word i has the token ids ``flat[starts[i]:starts[i] + sizes[i]]``.
+
+    Only words not met lately are encoded. ``known`` are two generations of
+    words with their ids; a word found in the older one moves to the newer, and
+    what is not asked for while the newer fills up is forgotten.
+    """
+    fresh, old = known
+    ids = [fresh.get(w) for w in words]
+    new = []
+    for i, x in enumerate(ids):
+        if x is None:
+            x = ids[i] = old.get(words[i])
+            if x is None:
+                new.append(i)
+            else:
+                fresh[words[i]] = x
+    starts, sizes, flat = encode_words(tok, [words[i] for i in new])
+    raw = flat.tobytes()
+    for i, a, n in zip(new, (4 * starts).tolist(), (4 * sizes).tolist(), strict=True):
+        ids[i] = raw[a : a + n]
+        if len(words[i]) <= LONGEST_KNOWN:
+            fresh[words[i]] = ids[i]
+    if len(fresh) > KNOWN_WORDS:
+        known[:] = [{}, fresh]
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(ids), "<u4")
+
+
 def pieces_of(texts: pa.Array, path: str, length: int, end_id: int = 0) -> dict[str, np.ndarray]:
     """Columns ``row, piece, start, length, ids_crc32`` of a batch of texts."""
     from tokenizers import Tokenizer
@@ -79,7 +111,7 @@ def pieces_of(texts: pa.Array, path: str, length: int, end_id: int = 0) -> dict[
     cache = worker_cache()
     tok = cache.get(path) or cache.setdefault(path, Tokenizer.from_file(path))
     codes, words, first = split_words(texts)
-    starts, sizes, flat = ids_of_words(tok, words)
+    starts, sizes, flat = ids_of_words(tok, words, cache.setdefault(path + " known", [{}, {}]))
     row, piece, start, size, crc = [], [], [], [], []
     close = np.array([end_id], "<u4").tobytes()
     for at in range(0, len(first) - 1, 256):
