@@ -4,9 +4,9 @@ Sizes are cut into bands as wide as the threshold allows, so similar sets lie in
 one band or in neighbouring ones. For such a pair of bands the sets differ in at
 most k elements. The feature domain is dealt by hash to first-level partitions,
 more than k // 2 of them, so in one at least the sets differ in at most one
-element; each is dealt again to three second-level partitions, of which two then
-agree. Every pair of second-level partitions is enumerated, and the elements of
-a set in it are one signature: similar sets share at least one.
+element; each is dealt again to PARTS second-level partitions, of which all but
+one then agree. Every choice of all but one is enumerated, and the elements of a
+set in it are one signature: similar sets share at least one.
 
 A signature without elements says nothing. A band therefore has a few spare
 partitions, and a set with more empty signatures than those deals its elements
@@ -26,8 +26,9 @@ from edgeloom.llm.setjoin import ODD, Similarity, emit, joined, mix64, nodes_of,
 
 WORDS = 4
 LIMIT = Similarity(85, 100)
-#: Second-level partitions; a signature is all of them but one.
-PARTS = 3
+#: Second-level partitions; a signature is all of them but one. Three make signatures a third
+#: longer, hence fewer chance meetings, but half as many again to shuffle.
+PARTS = 2
 #: Dealings tried before empty signatures are given out after all.
 DEALINGS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -9,8 +9,8 @@ list is ever expanded into all its pairs unless it is short:
 2. each member is compared with its list's leader, the member with the most
    company over all lists (an original among its copies);
 3. lists still in several components are compared in full: short ones by pairs,
-   long ones with their leader's other lists, in cells of bounded size, and only
-   between members of different components.
+   long ones with their leader's other lists, in cells of bounded size, first by
+   sketch, and only between members of different components.
 
 Pairs are screened first by sketches that bound their intersection from above;
 only the shingle sets of texts in the pairs that are left are moved.
@@ -289,6 +289,36 @@ def cell_links(table: pa.Table, limit: Similarity) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def cell_survivors(table: pa.Table, limit: Similarity) -> pa.Table:
+    """The texts ``(unit, key)`` of a cell that sketches let be similar to one of another component."""
+    table = table.sort_by("size")
+    key, group, own, size = (table.column(c).to_numpy() for c in ("key", "group", "own", "size"))
+    drawn = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    stay = np.zeros(len(key), bool)
+    for i in np.flatnonzero(own).tolist():
+        low = int(np.searchsorted(limit.den * size, limit.num * size[i]))
+        high = int(np.searchsorted(limit.num * size, limit.den * size[i], side="right"))
+        other = low + np.flatnonzero(group[low:high] != group[i])
+        if len(other):
+            ok = may_reach(drawn[i], drawn[other], size[i], size[other], limit)
+            stay[other[ok]] = True
+            stay[i] |= ok.any()
+    found = np.unique(key[stay])
+    return pa.table({"unit": np.full(len(found), table.column("unit")[0].as_py(), np.int64), "key": found})
+
+
+def in_cells(many: DataFrame, scratch: Scratch) -> DataFrame:
+    """Kept ``(unit, key, group, own, i, j)``: in each unit of ``many(unit, key, group)`` the texts outside
+    its largest component (``own``) meet all its texts, in cells of bounded size."""
+    sized = scratch.keep(divided(many, "unit").filter("others > 0"))
+    units = many.join(sized, "unit").withColumns({"parts": F.ceil(F.col("others") / CELL), "blocks": F.ceil(F.col("c") / CELL)})
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    at = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n))
+    mine = units.filter("group <> top").select("unit", "key", "group", F.lit(True).alias("own"), at("parts", 1).alias("i"), upto("blocks").alias("j"))
+    rest = units.select("unit", "key", "group", F.lit(False).alias("own"), upto("parts").alias("i"), at("blocks", 2).alias("j"))
+    return scratch.keep(mine.unionByName(rest))
+
+
 def divided(rows: DataFrame, unit: str) -> DataFrame:
     """Per unit its texts ``c``, its largest component ``top`` and the texts outside it."""
     shares = rows.groupBy(unit, "group").agg(F.count("*").alias("m"))
@@ -341,10 +371,17 @@ def joined(
         .distinct()
     )
     pairs = screened(pairs, nodes, limit, scratch)
-    links = star_links(pairs, sets, limit, scratch)
-    scratch.drop(pairs)
+    # Each text meets its greatest leader first: then most others of its leaders are in its component.
+    great = pairs.join(weight.withColumnRenamed("key", "a"), "a")
+    first = scratch.keep(great.groupBy("b").agg(F.max(F.struct("w", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"))
+    links = star_links(first, sets, limit, scratch)
     if known is not None:
         links = scratch.keep(links.unionByName(known.select("u", "v")))
+    for end in ("a", "b"):
+        pairs = grouped(pairs.withColumnRenamed(end, "key"), links).withColumnsRenamed({"key": end, "group": "group_" + end})
+    more = scratch.keep(pairs.filter("group_a <> group_b").select("a", "b"))
+    links = scratch.keep(links.unionByName(star_links(more, sets, limit, scratch)))
+    scratch.drop(first, more)
 
     labelled = scratch.keep(grouped(members, links))
     scratch.drop(members)
@@ -365,21 +402,16 @@ def joined(
     some = star_links(short, sets, limit, scratch)
 
     many = scratch.keep(todo.filter(f"c > {FEW}").select("unit", "key", "group").distinct())
-    units = many.join(scratch.keep(divided(many, "unit").filter("others > 0")), "unit").withColumns(
-        {"parts": F.ceil(F.col("others") / CELL), "blocks": F.ceil(F.col("c") / CELL)}
-    )
-    # What is not in the largest component meets everything, in cells.
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    at = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n))
-    mine = units.filter("group <> top").select("unit", "key", "group", F.lit(True).alias("own"), at("parts", 1).alias("i"), upto("blocks").alias("j"))
-    rest = units.select("unit", "key", "group", F.lit(False).alias("own"), upto("parts").alias("i"), at("blocks", 2).alias("j"))
-    cells = scratch.keep(mine.unionByName(rest))
-    scratch.drop(todo, many)
+    scratch.drop(todo)
+    drawn = in_cells(many, scratch).join(nodes.select("key", "sketch", F.col("n").alias("size")), "key")
+    left = drawn.groupBy("unit", "i", "j").applyInArrow(lambda t: cell_survivors(t, limit), "unit long, key long")
+    close = scratch.keep(many.join(scratch.keep(left.distinct()), ["unit", "key"], "left_semi"))
+    cells = in_cells(close, scratch)
     have = sets(cells.select("key").distinct())
     full = scratch.keep(
         cells.join(have, "key").groupBy("unit", "i", "j").applyInArrow(lambda t: cell_links(t, limit), "u long, v long")
     )
-    scratch.drop(short, cells, have)
+    scratch.drop(short, many, close, cells, have)
     out = components(links.unionByName(some).unionByName(full), scratch)
     scratch.drop(links, some, full)
     return out
