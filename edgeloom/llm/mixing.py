@@ -164,10 +164,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, with its own columns."""
+    """Pipeline stage: every document as often as the mix takes it, with its own columns, whatever their names."""
     settle(spark)
-    mixed = mix(docs, word_count(F.col("text")), F.xxhash64("text"))
-    return mixed.filter("_copies > 0").select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "_copy"],
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"),
-    ).drop("_copy")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    wrapped = docs.select(row).select("row", "row.doc_id", "row.source", word_count(F.col("row.text")).alias("n"), F.xxhash64("row.text").alias("t"))
+    mixed = mix(wrapped, F.col("n"), F.col("t")).filter("_copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy")).select("row.*")
