@@ -30,7 +30,7 @@ PIECES_PER_TASK = 16_384
 BETWEEN = "\x01"
 
 #: Words a worker keeps with their ids before it starts anew, and the longest of them in bytes.
-KNOWN_WORDS, LONGEST_KNOWN = 400_000, 40
+KNOWN_WORDS, LONGEST_KNOWN = 150_000, 40
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
