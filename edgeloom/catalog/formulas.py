@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.catalog.corpus import CL, CORPUS_SQL, G1, month_graphs
 from edgeloom.catalog.registry import query, rounded, table
-from edgeloom.catalog.statistics import rank_sql
+from edgeloom.catalog.statistics import DRAWS, rank_sql
 from edgeloom.operators import formulas as M
 from edgeloom.operators import invariants as I
 from edgeloom.plans.calibration import calibration_gate, calibration_verdict
@@ -108,10 +108,31 @@ def novelty(spark, d):
     return M.novelty_bonus(preds.select("graph_id", "candidate", "pred"), rows, ["graph_id"], NAMES).select("candidate", "novelty")
 
 
-@query("F5_novelty_ci")
+INVARIANTS_SQL = "unnest(['density', 'avg_degree', 'std_degree']) AS invariant, unnest([density, avg_degree, std_degree]) AS v"
+NOVEL_REPS = 1000
+
+
+def rho_sql(rows: str, keys: str) -> str:
+    """|Spearman| of ``v`` and ``pred`` per ``keys``, 0 where either is constant."""
+    ranks = f"SELECT {keys}, {rank_sql('v', keys)} AS a, {rank_sql('pred', keys)} AS b FROM ({rows})"
+    return f"SELECT {keys}, CASE WHEN min(a) = max(a) OR min(b) = max(b) THEN 0 ELSE abs(corr(a, b)) END AS rho FROM ({ranks}) GROUP BY ALL"
+
+
+@query(
+    "F5_novelty_ci",
+    rounded(
+        "upper, worst, estimate",
+        f"""WITH {FEATURES_SQL}, src AS (SELECT candidate, graph_id, pred, density, avg_degree, std_degree FROM pr JOIN sp USING (graph_id) WHERE pred IS NOT NULL),
+            {DRAWS.format(k='candidate', i='graph_id', t='src', r=NOVEL_REPS)},
+            up AS (SELECT candidate, invariant, quantile_cont(rho, 0.95) AS upper FROM ({rho_sql(f'SELECT candidate, rep, pred, {INVARIANTS_SQL} FROM boot', 'candidate, rep, invariant')}) GROUP BY ALL),
+            pt AS ({rho_sql(f'SELECT candidate, pred, {INVARIANTS_SQL} FROM src', 'candidate, invariant')})
+            SELECT candidate, invariant, upper, max(upper) OVER (PARTITION BY candidate) AS worst, rho AS estimate, max(upper) OVER (PARTITION BY candidate) < 0.7 AS novel
+            FROM up JOIN pt USING (candidate, invariant)""",
+    ),
+)
 def novelty_interval(spark, d):
     rows, preds = predictions(spark, d)
-    return M.novelty_ci(preds.select("graph_id", "candidate", "pred"), rows, ["graph_id"], NAMES, replicates=50)
+    return M.novelty_ci(preds.select("graph_id", "candidate", "pred"), rows, ["graph_id"], NAMES, replicates=NOVEL_REPS)
 
 
 @query(
@@ -177,13 +198,12 @@ def line_rows(spark, d):
 
 @query("F10_linear_regression")
 def linear(spark, d):
-    out = M.stat_baselines(line_rows(spark, d), LINE_FEATURES, "price", trees=2)
-    return out.filter("model = 'linear'")
+    return M.stat_baselines(line_rows(spark, d), LINE_FEATURES, "price", kinds=["linear"])
 
 
 @query("F11_random_forest")
 def forest(spark, d):
-    return M.stat_baselines(line_rows(spark, d), LINE_FEATURES, "price").filter("model = 'forest'")
+    return M.stat_baselines(line_rows(spark, d), LINE_FEATURES, "price", kinds=["forest"])
 
 
 @query("F12_stat_baselines")
