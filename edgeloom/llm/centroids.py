@@ -2,11 +2,11 @@
 
 Vectors and centroids are transformed exactly: 64 sums and differences of their
 components, ordered from the coarsest (fewest sign changes) to the finest. The
-transform keeps squared distances up to the factor 64, so differences of
-coefficients may be added up block by block: what is added so far is a lower
-bound, and that plus twice the squares of both tails an upper one. A centroid
-strictly above another's upper bound is out; those that are left after the last
-block have their whole distance.
+transform keeps squared distances up to the factor 64, so squared differences of
+coefficients may be added up block by block, and what is added so far is a lower
+bound. After the first block the centroid that leads gets its whole distance; a
+centroid whose sum is strictly above that is out. Those that are left are
+carried through all 64 coefficients.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ CLUSTERS = 8
 ROUNDS = 10
 SCALE = 1024
 SEED = "3"
-#: Coefficients after which bounds are compared.
-STEPS = (1, 2, 4, 8, 16, 32, 64)
+#: Coefficients after which sums are compared with the leader's distance.
+STEPS = (4, 8, 16, 32, 64)
 #: Coefficients below this leave room for sums of squares in 64 bits; larger ones take Python's integers.
 SMALL = 1 << 26
 
@@ -67,22 +67,21 @@ def nearest(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.n
     n, k = len(points), len(centroids)
     row, which = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
     added = np.zeros(n * k, points.dtype)
-    tail_p, tail_c = (points * points).sum(axis=1), (centroids * centroids).sum(axis=1)
-    taken, done = 0, 0
+    taken, done, limit = 0, 0, None
     for step in STEPS:
-        a, b = points[:, done:step], centroids[:, done:step]
-        gap = a[row] - b[which]
+        gap = points[:, done:step][row] - centroids[:, done:step][which]
         added = added + (gap * gap).sum(axis=1)
         taken += gap.size
-        tail_p, tail_c = tail_p - (a * a).sum(axis=1), tail_c - (b * b).sum(axis=1)
         done = step
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        upper = added + 2 * (tail_p[row] + tail_c[which])  # |x - y|^2 <= 2 |x|^2 + 2 |y|^2
-        least = np.minimum.reduceat(upper, first) if len(first) else upper
-        stay = added <= least[np.cumsum(np.diff(row, prepend=-1) > 0) - 1]
+        if limit is None:
+            rest = points - centroids[added.reshape(n, k).argmin(axis=1)]
+            limit = (rest * rest).sum(axis=1)
+            taken += rest.size
+        stay = added <= limit[row]
         row, which, added = row[stay], which[stay], added[stay]
-    # Whole distances now: each row's centroids lie in rising order, and all that are left are equally near.
-    first = np.flatnonzero(np.diff(row, prepend=-1))
+    # Whole distances now, at most the leader's: the least of them first, of equals the smaller number.
+    order = np.lexsort((which, added, row))
+    first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
     return which[first], added[first], taken
 
 
