@@ -238,3 +238,24 @@ def test_pipeline_keeps_clean_documents_and_applies_every_stage(spark, tmp_path)
     assert "password = <secret>" in rest[700]["text"]
     assert {r["doc_id"] for r in out} <= set(rest)
     assert corpus_pipeline.run(spark, folder(tmp_path / "none", documents=table.limit(0))).count() == 0
+
+
+def test_marks_without_a_letter_are_no_letters():
+    words = [x.encode() for x in ("❤️", "́", "1️⃣", "é", "❤️a", "abc")]
+    runs, owner, per_word = L.letters(words)
+    assert per_word.tolist() == [0, 0, 0, 1, 1, 1]
+
+
+def test_mixing_and_near_dedup_keep_columns_of_any_name(spark):
+    from edgeloom.llm.near_dedup import near_dedup_stage
+
+    rng = np.random.default_rng(2)
+    table = docs(spark, [(i, gibberish(rng, 40), "en", "s") for i in range(12)] + [(3, "again"), (3, "again"), (None, "no id")])
+    for name in ("_key", "_copy", "_size", "_DOC", "row", "copy", "th", "a.b"):
+        table = table.withColumn(name, table["doc_id"] * 7)
+    for stage in (mixing_stage, near_dedup_stage):
+        out = stage(spark, table, "")
+        assert out.columns == table.columns
+        rows = out.collect()
+        assert len({r["doc_id"] for r in rows}) == 13
+        assert all(r[c] == (None if r["doc_id"] is None else 7 * r["doc_id"]) for r in rows for c in table.columns[5:])
