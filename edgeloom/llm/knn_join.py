@@ -43,10 +43,10 @@ def quantised(x: np.ndarray) -> np.ndarray:
     return np.floor(SCALE * x)
 
 
-def best_rows(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(query row, column)`` of each row's k largest, ties to the smaller id; -inf never counts."""
-    at_least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
-    i, j = np.nonzero((score >= at_least[:, None]) & (score > -np.inf))
+def best_rows(score: np.ndarray, ids: np.ndarray, k: int, never: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """``(query row, column)`` of each row's k largest, ties to the smaller id; ``never``, the least value, does not count."""
+    at_least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), never, score.dtype)
+    i, j = np.nonzero((score >= at_least[:, None]) & (score > never))
     order = np.lexsort((ids[j], -score[i, j], i))
     i, j = i[order], j[order]
     rank = np.arange(len(i)) - np.searchsorted(i, i)
@@ -173,11 +173,12 @@ def knn_join(table: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
         q, o, q_id, o_id = x[asks], x[~asks], ids[asks], ids[~asks]
         if len(q) and len(o):
             size = float(np.abs(q).max()) * float(np.abs(o).max()) * x.shape[1]
-            score = q @ o.T if size < 2**53 else (q.astype(np.int64) @ o.astype(np.int64).T)
-            exact = score
-            score = np.where(q_id[:, None] == o_id[None, :], -np.inf, score.astype(np.float64))
-            i, j = best_rows(score, o_id, k) if size < 2**53 else np.nonzero(score > -np.inf)
-            return pa.table({"query_id": q_id[i], "vec_id": o_id[j], "score": exact[i, j].astype(np.int64)})
+            if size >= 2**53:  # doubles would round
+                q, o = q.astype(np.int64), o.astype(np.int64)
+            never = -np.inf if size < 2**53 else np.iinfo(np.int64).min
+            score = np.where(q_id[:, None] == o_id[None, :], never, q @ o.T)
+            i, j = best_rows(score, o_id, k, never)
+            return pa.table({"query_id": q_id[i], "vec_id": o_id[j], "score": score[i, j].astype(np.int64)})
         none = pa.array([], pa.int64())
         return pa.table({"query_id": none, "vec_id": none, "score": none})
 

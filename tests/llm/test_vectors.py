@@ -65,6 +65,14 @@ def test_voronoi_join_equals_brute_force(spark):
     assert got == brute(rows, floor_product, True)
 
 
+def test_scores_beyond_doubles_are_exact_and_few(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=8) * 1e6).tolist(), None, None) for i in range(120)]
+    rows[60] = (60, rows[59][1], None, None)
+    got = sorted(tuple(r) for r in knn_join(spark.createDataFrame(rows, ROW)).collect())
+    assert got == brute(rows, floor_product, True)
+
+
 def test_block_join_equals_brute_force(spark):
     rows = vectors()
     got = sorted(tuple(r) for r in block_search(spark.createDataFrame(rows, ROW)).collect())
