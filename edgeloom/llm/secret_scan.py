@@ -9,8 +9,8 @@ before and cost little; a random key costs nearly all its bytes.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +41,11 @@ KEY_BLOCK = re.compile(
     r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:((?:(?!-----BEGIN ).)*?)-----END |((?:\s*[A-Za-z0-9+/=]{16,}(?!\S))+))", re.S
 )
 IDENTIFIER = re.compile(r"[A-Za-z_]{4,40}")
-#: Characters after a sensitive word in which a candidate may begin, and those around it that price it.
-REACH, AROUND = 64, 512
+#: A letter or digit, and what a line ends in whose value stands on the next one.
+PRINTED = re.compile(r"[^\W_]")
+OPEN_ENDS = tuple(":=|>\\([{\"'`")
+#: Characters on either side of a candidate that price it.
+AROUND = 512
 #: Added bytes per character from which a candidate is new.
 NOVELTY = 0.8
 #: Identifiers that prime the compressor: the most frequent, at most 80 KB.
@@ -75,12 +78,31 @@ def mixed(word: str) -> bool:
 
 
 def contexts(text: str, low: str) -> Iterator[tuple[int, int]]:
-    """Stretches after a sensitive word, to the end of its line at most."""
-    if any(w in low for w in SENSITIVE):
-        for m in CONTEXT.finditer(text):
-            start = m.end() - 1
-            line = text.find("\n", start)
-            yield start, min(start + REACH, len(text) if line < 0 else line)
+    """Stretches after sensitive words, apart and in order.
+
+    Each goes from its word to the end of the line, and where nothing printed
+    follows on the line, or the line ends in a mark such as ``:``, to the end of
+    the next line that has a letter or digit.
+    """
+    if not any(w in low for w in SENSITIVE):
+        return
+    line_end = last = done = -1
+    open_end = False
+    for m in CONTEXT.finditer(text):
+        start = m.end() - 1
+        if start > line_end:
+            begin, line_end = text.rfind("\n", 0, start) + 1, text.find("\n", start)
+            line_end = len(text) if line_end < 0 else line_end
+            line = text[begin:line_end].rstrip()
+            open_end = line.endswith(OPEN_ENDS)
+            last = max((x.start() for x in PRINTED.finditer(line)), default=-1) + begin
+        end = line_end
+        if (open_end or last < start) and done <= line_end and (following := PRINTED.search(text, line_end)):
+            end = text.find("\n", following.start())
+            end = len(text) if end < 0 else end
+        if end > done:
+            yield max(start, done), end
+            done = end
 
 
 def key_blocks(text: str) -> list[tuple[int, int]]:
@@ -96,6 +118,36 @@ def key_blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def apart(spans: list[tuple]) -> tuple[list[int], list[int]]:
+    """Sorted starts and ends of the stretches that ``spans`` cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, start, end, *_ in sorted(spans, key=lambda s: s[1]):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def occurrences(text: str, words: dict[str, float]) -> dict[str, list[int]]:
+    """Where each word occurs, leftmost and apart, found in one pass over the text."""
+    found: dict[str, list[int]] = defaultdict(list)
+    if words:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for end, word in automaton.iter(text):
+            start = end + 1 - len(word)
+            if not found[word] or found[word][-1] + len(word) <= start:
+                found[word].append(start)
+    return found
+
+
 def novel_spans(text: str, low: str, taken: list[tuple], packer) -> list[tuple]:
     """Candidates apart from ``taken`` whose added bytes per character reach ``NOVELTY``.
 
@@ -128,7 +180,12 @@ def novel_spans(text: str, low: str, taken: list[tuple], packer) -> list[tuple]:
     for start, (end, *_) in sorted(found.items()):
         places.setdefault(text[start:end], []).append(start)
     runs: dict[str, float] = {}
-    clear = lambda s, e: not any(x < e and s < y for _, x, y, *_ in taken)
+    starts, ends = apart(taken)
+
+    def clear(start: int, end: int) -> bool:
+        at = bisect_right(ends, start)
+        return at == len(ends) or starts[at] >= end
+
     for start in sorted(found):
         end, first, stop = found[start]
         word = text[start:end]
@@ -142,13 +199,14 @@ def novel_spans(text: str, low: str, taken: list[tuple], packer) -> list[tuple]:
         if (price := price_of(word, before, after)) >= NOVELTY:
             run = text[first:stop] if clear(first, stop) else word
             runs[run] = max(price, runs.get(run, 0.0))
+    copies = occurrences(text, runs)
     for word, price in sorted(runs.items(), key=lambda x: -len(x[0])):
-        at = text.find(word)
-        while at >= 0:
+        for at in copies[word]:
             if clear(at, at + len(word)):
                 out.append(("novel", at, at + len(word), at, price))
-                taken = [*taken, out[-1]]
-            at = text.find(word, at + len(word))
+                here = bisect_left(starts, at)
+                starts.insert(here, at)
+                ends.insert(here, at + len(word))
     return out
 
 
@@ -181,7 +239,7 @@ def identifier_dictionary(docs: DataFrame, text: str = "text", most: int = DICTI
             for t in column_array(batch, "text").to_pylist():
                 words: set = set()
                 for start, end in contexts(t, t.lower()):
-                    words.update(IDENTIFIER.findall(t[max(0, start - REACH) : end]))
+                    words.update(IDENTIFIER.findall(t, t.rfind("\n", 0, start) + 1, end))
                 counts.update(words)
             yield pa.RecordBatch.from_pydict(
                 {"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())}

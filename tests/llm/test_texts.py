@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 
@@ -119,7 +120,10 @@ def test_new_strings_in_sensitive_context_only():
     kinds = lambda t: [(s["kind"], t[s["start"] : s["end"]]) for s in R.find_spans(t, packer)]
     assert kinds(f"private key {KEY} end") == [("novel", KEY)]
     assert kinds(f"nothing here {KEY} end") == []
-    assert kinds(f"key:\n{KEY}") == []  # another line
+    assert kinds(f"key:\n{KEY}") == [("novel", KEY)]  # the value stands on the next line
+    assert kinds(f"key: |\n\n  {KEY}\n") == kinds(f"api token\n{KEY}") == [("novel", KEY)]
+    assert kinds(f"the key for staging\n{KEY}") == kinds(f"key:\nnothing\n{KEY}") == []  # another line
+    assert kinds(f"key:\ntoken:\n{KEY}") == kinds(f"secret of {'some words ' * 500}{KEY}") == [("novel", KEY)]
     assert kinds("the key word is internationalorganisation2 here internationalorganisation2") == []
     assert kinds(f"{KEY} and its key {KEY}") == []  # seen before, so not new
 
@@ -140,6 +144,20 @@ def test_key_blocks_dotted_tokens_and_repeated_keys():
     assert found("auth internationalorganisation2 x\nauth internationalorganisation2 y") == []
 
 
+def test_megabytes_of_keys_take_linear_time():
+    rng = np.random.default_rng(3)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = ["".join(k) for k in letters[rng.integers(0, 62, (4000, 32))]]
+    packer = R.packer_of(b"")
+    prose = " some ordinary words of the same prose stand between one key and the next " * 8
+    for text, least in (("key " + prose.join(keys), 3900), (prose.join(f"\ntoken {k} " for k in keys), 3900), ("key token " * 100_000, 0)):
+        began = time.process_time()
+        spans = R.find_spans(text, packer)
+        assert time.process_time() - began < 10
+        found = {text[s["start"] : s["end"]] for s in spans}
+        assert found <= set(keys) and len(found) >= least
+
+
 def test_stage_masks_values_and_keeps_everything_else(spark):
     rows = [(1, "my password = hunter22 ok", "en", "s"), (2, "clean", None, None), (2, "clean", None, None), (None, None), (3, f"key {KEY}."), (4, "")]
     table = docs(spark, rows)
