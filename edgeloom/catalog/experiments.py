@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from edgeloom.catalog.registry import query, rounded, table
@@ -129,6 +132,38 @@ def stagnation(spark, d):
     return first.select("run", "generation", "streak", "mode").join(second, ["run", "generation"])
 
 
+@query(
+    "W4_stagnation_switches",
+    f"""WITH {CURVE_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY generation) AS turn FROM curve),
+        s AS (SELECT *, turn - coalesce(max(CASE WHEN valid THEN turn END) OVER w, 0) AS streak,
+          sum(CASE WHEN valid THEN 0 ELSE 1 END) OVER w AS invalid FROM t WINDOW w AS (PARTITION BY run ORDER BY generation)),
+        m AS (SELECT *, min(CASE WHEN streak = 6 THEN invalid END) OVER (PARTITION BY run ORDER BY generation) AS since FROM s)
+        SELECT run, generation, 'reset' AS rule, streak % 5 AS streak, CASE WHEN streak % 5 >= 2 THEN 'constrained' ELSE 'free' END AS mode,
+          greatest(streak % 5 - 1, 0) AS span FROM m
+        UNION ALL SELECT run, generation, 'lock', streak, CASE WHEN streak >= 2 OR since IS NOT NULL THEN 'constrained' ELSE 'free' END,
+          (CASE WHEN since IS NOT NULL THEN invalid - since + 4 ELSE greatest(streak - 2, 0) END)::BIGINT FROM m
+        UNION ALL SELECT run, generation, 'late', streak, CASE WHEN streak >= 2 THEN 'constrained' ELSE 'free' END, greatest(streak - 2, 0) FROM m
+        UNION ALL SELECT run, generation, 'off', 0, 'free', 0 FROM m""",
+)
+def stagnation_switches(spark, d):
+    """Every rule and switch at trigger 2: recovery 4 for the reset, 3 for the lock."""
+    turns = curves(spark, d)
+    bucket = F.floor(F.col("generation") / 24)
+    rules = {
+        "reset": {"rule": "reset", "recovery": 4},
+        "lock": {"rule": "lock", "recovery": 3},
+        "late": {"rule": "lock", "recovery": 3, "late_recovery": True},
+        "off": {"rule": "lock", "recovery": 3, "fallback": False},
+    }
+    parts = [
+        L.stagnation_mode(turns, ["run"], bucket, trigger=2, **switches).select(
+            "run", "generation", F.lit(name).alias("rule"), "streak", "mode", "span"
+        )
+        for name, switches in rules.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 LINES_SQL = """lines AS (SELECT event_id AS line_no, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' INFO] ' || CASE event_type WHEN 'click' THEN 'RUN'
    WHEN 'purchase' THEN 'DONE' WHEN 'error' THEN 'FAIL' ELSE 'NOTE' END || ' domain=user' || user_id || ' seed=' || user_id % 3 AS value FROM events),
 runs AS (SELECT line_no, date_trunc('second', ts) AS ts, CASE event_type WHEN 'click' THEN 'RUN' WHEN 'purchase' THEN 'DONE' ELSE 'FAIL' END AS action,
@@ -427,11 +462,18 @@ def criteria(spark, d):
     )
 
 
+SPLITS_SQL = """a AS (SELECT o_orderpriority AS split, o_orderkey // 1024 AS p1, count(*) AS n,
+   sha256(string_agg(o_orderkey || ':' || o_custkey, ',' ORDER BY o_orderkey)) AS h FROM orders GROUP BY ALL),
+b AS (SELECT split, p1 // 1024 AS p2, sum(n) AS n, sha256(string_agg(h, ',' ORDER BY p1)) AS h FROM a GROUP BY ALL),
+c AS (SELECT split, p2 // 1024 AS p3, sum(n) AS n, sha256(string_agg(h, ',' ORDER BY p2)) AS h FROM b GROUP BY ALL),
+splits AS (SELECT split, sha256(string_agg(h, ',' ORDER BY p3)) AS fingerprint, sum(n)::BIGINT AS n FROM c GROUP BY split)"""
+#: Fields of the run that the fingerprint of a whole dataset holds beside its splits.
+DATASET = {"seed": 42, "target_name": "o_custkey", "model_name": "orders"}
+
+
 @query(
     "E32_dataset_fingerprint",
-    """WITH parts AS (SELECT o_orderpriority AS split, o_orderkey // 1024 AS chunk, count(*) AS n,
-         sha256(string_agg(o_orderkey || ':' || o_custkey, ',' ORDER BY o_orderkey)) AS h FROM orders GROUP BY ALL)
-       SELECT split, sha256(string_agg(h, ',' ORDER BY chunk)) AS fingerprint, sum(n)::BIGINT AS n FROM parts GROUP BY split""",
+    f"WITH {SPLITS_SQL} SELECT split, fingerprint, n FROM splits",
 )
 def fingerprints(spark, d):
     rows = table(spark, d, "orders").select(
@@ -440,6 +482,17 @@ def fingerprints(spark, d):
     return X.fingerprint(rows, ["split"], "pos", "y")
 
 
+@query(
+    "E32_dataset_identity",
+    f"""WITH {SPLITS_SQL}, lines AS (SELECT split || ':' || n || ':' || fingerprint AS line, n FROM splits)
+       SELECT sha256('{json.dumps(DATASET, sort_keys=True)}|' || string_agg(line, ',' ORDER BY line)) AS dataset, count(*) AS n_splits,
+         sum(n)::BIGINT AS n FROM lines""",
+)
+def dataset_identity(spark, d):
+    """One fingerprint of the configuration and all splits."""
+    return X.dataset_fingerprint(fingerprints(spark, d), [], "split", DATASET)
+
+
 PAIRED_SQL = """pa AS (SELECT o_orderpriority AS domain, month(o_orderdate)::INTEGER AS seed, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) / 1e6 AS a,
    avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) / 1e6 AS b FROM orders GROUP BY ALL)"""
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,24 +153,41 @@ def success_criteria(
     )
 
 
-def fingerprint(values: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:
-    """sha256 over the ordered values of each split, in two levels.
+def fingerprint(values: DataFrame, keys: Sequence[str], position: str, value: str, levels: int = 3) -> DataFrame:
+    """sha256 over the ordered values of each split, as a tree of digests.
 
-    Stretches of 1024 positions are hashed first and their digests hashed in
-    order, so a long split is never one array of values.
+    Stretches of 1024 positions are hashed, then stretches of 1024 digests, and
+    so on for ``levels`` levels; the digests left are hashed in order.  No array
+    is longer than 1024 while positions stay below ``1024 ** (levels + 1)``.
+    The depth is part of the definition and does not follow the data.  Positions
+    are distinct within a split; a null value hashes like its position alone.
     """
     keys = list(keys)
-    chunk = F.floor(F.col(position) / 1024).cast("long")
     text = F.concat_ws(":", F.col(position).cast("string"), F.col(value).cast("string"))
-    parts = values.groupBy(*keys, chunk.alias("_chunk")).agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(position, text.alias("t")))),
-                                        lambda s: s["t"]), ","), 256).alias("_h"),
-        F.count("*").alias("_n"),
+    level = values.select(
+        *keys, F.col(position).cast("long").alias("_at"), text.alias("_h"), F.lit(1).cast("long").alias("n")
     )
-    return parts.groupBy(*keys).agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "_h"))),
-                                        lambda s: s["_h"]), ","), 256).alias("fingerprint"),
-        F.sum("_n").alias("n"),
+
+    def digest() -> Column:
+        ordered = F.sort_array(F.collect_list(F.struct("_at", "_h")))
+        return F.sha2(F.array_join(F.transform(ordered, lambda s: s["_h"]), ","), 256)
+
+    for _ in range(levels):
+        above = F.floor(F.col("_at") / 1024).cast("long").alias("_above")
+        level = (
+            level.groupBy(*keys, above).agg(digest().alias("_h"), F.sum("n").alias("n")).withColumnRenamed("_above", "_at")
+        )
+    return level.groupBy(*keys).agg(digest().alias("fingerprint"), F.sum("n").alias("n"))
+
+
+def dataset_fingerprint(splits: DataFrame, keys: Sequence[str], split: str, config: Mapping[str, object]) -> DataFrame:
+    """One sha256 per dataset over its configuration, as sorted JSON, and the sizes and fingerprints of its splits."""
+    head = json.dumps(dict(config), sort_keys=True, ensure_ascii=False)
+    line = F.concat_ws(":", F.col(split).cast("string"), F.col("n").cast("string"), F.col("fingerprint"))
+    return splits.groupBy(*keys).agg(
+        F.sha2(F.concat(F.lit(head + "|"), F.array_join(F.array_sort(F.collect_list(line)), ",")), 256).alias("dataset"),
+        F.count("*").alias("n_splits"),
+        F.sum("n").alias("n"),
     )
 
 

@@ -107,34 +107,62 @@ RECOVERY = 3
 
 
 def stagnation_mode(
-    turns: DataFrame, keys: Sequence[str], bucket: Column, rule: str = "reset"
+    turns: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    rule: str = "reset",
+    trigger: int = TRIGGER,
+    recovery: int = RECOVERY,
+    fallback: bool = True,
+    late_recovery: bool = False,
 ) -> DataFrame:
     """Prompt mode after every generation of ``turns(keys…, generation, valid)``.
 
-    The mode depends only on the invalid streak, so it needs two running
-    aggregates instead of a replay.  ``reset``: a streak starts over after
-    TRIGGER + RECOVERY − 1 invalid generations.  ``lock``: a valid generation
-    frees the island unless a streak once outlived the recovery span.
+    Adds ``streak``, ``mode`` and ``span``, the invalid generations counted as
+    constrained.  All follow from the invalid streak, so a log of any length
+    needs running aggregates and no replay.  A null ``valid`` is invalid.
+
+    ``reset``: a streak starts over after ``trigger + recovery − 1`` invalid
+    generations, and the ``trigger``-th already counts as constrained.
+    ``lock``: the generation after it is the first that counts, and a valid one
+    frees the island unless its span outlived ``recovery``; with
+    ``late_recovery`` it always does, without ``fallback`` nothing is ever
+    counted or constrained.  The two switches belong to ``lock``.
     """
     if rule not in ("reset", "lock"):
         raise ValueError("rule must be 'reset' or 'lock'")
+    if rule == "reset" and (late_recovery or not fallback):
+        raise ValueError("fallback and late_recovery belong to the rule 'lock'")
     keys = list(keys)
+    zero = F.lit(0).cast("long")
+    if not fallback:
+        return turns.withColumn("streak", zero).withColumn("mode", F.lit("free")).withColumn("span", zero)
+    trigger = max(trigger, 1)
     counted = running_sum(turns, keys, ["generation"], bucket, F.lit(1).cast("long"), "_turn")
     last = running_max(
         counted, keys, ["generation"], bucket, F.when(F.col("valid"), F.col("_turn")), "_valid",
         inclusive=True,
     )
-    out = last.withColumn("streak", F.col("_turn") - F.coalesce("_valid", F.lit(0)))
+    out = last.withColumn("streak", F.col("_turn") - F.coalesce("_valid", zero))
+    streak = F.col("streak")
+    locked = F.lit(False)
     if rule == "reset":
-        out = out.withColumn("streak", F.col("streak") % (TRIGGER + RECOVERY - 1))
-        constrained = F.col("streak") >= TRIGGER
+        out = out.withColumn("streak", streak % (trigger + max(recovery, 1) - 1))
+        span = F.greatest(streak - trigger + 1, zero)
     else:
+        span = F.greatest(streak - trigger, zero)
+    if rule == "lock" and not late_recovery:
+        # The first streak to outlive the recovery locks; from then on every invalid generation counts.
+        outlived = trigger + max(recovery, -1) + 1
+        invalid = F.when(F.col("valid"), 0).otherwise(1).cast("long")
+        out = running_sum(out, keys, ["generation"], bucket, invalid, "_invalid")
         out = running_max(
-            out, keys, ["generation"], bucket, F.col("streak"), "_longest", inclusive=True
+            out, keys, ["generation"], bucket, F.when(streak == outlived, -F.col("_invalid")), "_lock", inclusive=True
         )
-        constrained = (F.col("streak") >= TRIGGER) | (F.col("_longest") > TRIGGER + RECOVERY)
-    mode = F.when(constrained, "constrained").otherwise("free")
-    return out.withColumn("mode", mode).drop("_turn", "_valid", "_longest")
+        locked = F.col("_lock").isNotNull()
+        span = F.when(locked, F.col("_invalid") + F.col("_lock") + outlived - trigger).otherwise(span)
+    mode = F.when((streak >= trigger) | locked, "constrained").otherwise("free")
+    return out.withColumn("mode", mode).withColumn("span", span).drop("_turn", "_valid", "_invalid", "_lock")
 
 
 RUN_LINE = r"^\[(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})[^\]]*\]\s+(RUN|DONE|FAIL)\s+domain=(\S+)\s+seed=(\d+)"
