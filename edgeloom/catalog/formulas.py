@@ -243,10 +243,10 @@ def calibration(spark, d):
 
 @query("L15_metrics_table")
 def metrics(spark, d):
-    """All models on the base and the amended graphs; short training on whole tables."""
+    """All models on the base and the amended graphs, at full parameters on whole tables."""
     from edgeloom.catalog.derive import region_kg
     from edgeloom.catalog.mutations import supplier_proposals
     from edgeloom.plans.calibration import metrics_table
 
     entities, edges = region_kg(spark, d)
-    return metrics_table(edges, entities, supplier_proposals(spark, d), ["domain"], dim=8, epochs=1, negatives=1)
+    return metrics_table(edges, entities, supplier_proposals(spark, d), ["domain"])

@@ -9,6 +9,7 @@ from edgeloom.catalog.derive import region_kg, with_kg
 from edgeloom.catalog.registry import query, rounded, table
 from edgeloom.operators import embeddings as E
 from edgeloom.operators import ranking as R
+from edgeloom.operators import training as TR
 from edgeloom.operators.splits import kg_split, mask_split, train_graph
 from edgeloom.session import pin
 
@@ -390,15 +391,8 @@ def top_targets(spark, d):
 
 @query("L12_kge_train")
 def kge_train(spark, d):
-    """Three epochs of every model on the whole region graphs: loss per epoch."""
+    """Every model on the whole region graphs at full parameters: loss per epoch."""
     entities, edges = region_kg(spark, d)
     split = pin(mask_split(edges, KEYS))
-    ents = entities
-    out = None
-    for model in E.MODELS:
-        _, _, losses = E.train(
-            train_graph(split, KEYS), ents, KEYS, model, dim=8, epochs=3, negatives=1
-        )
-        part = losses.withColumn("model", F.lit(model))
-        out = part if out is None else out.unionByName(part)
-    return out
+    _, _, losses = TR.train_models(train_graph(split, KEYS), entities, KEYS)
+    return losses

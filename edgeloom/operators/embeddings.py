@@ -246,7 +246,7 @@ def hashed_normals(id_cols: Sequence[str], dim: int, seed: int, scale: float = 0
     )
 
 
-def _gradients(
+def hinge_gradients(
     model: str, s: np.ndarray, r: np.ndarray, t: np.ndarray, n: np.ndarray, margin: float
 ) -> tuple[np.ndarray, ...]:
     """Hinge loss of each (triple, negative) row and its four gradients."""
@@ -281,7 +281,7 @@ def _gradients(
     return loss, gs, gr, -h, h
 
 
-def _vector_sum(col: str, dim: int) -> Column:
+def vector_sum(col: str, dim: int) -> Column:
     return F.array(*[F.sum(F.col(col)[i]) for i in range(dim)])
 
 
@@ -293,7 +293,7 @@ def _gradient_rows(model: str, keys: list[str], margin: float) -> Callable:
             if pdf.empty:
                 continue
             s, r, t, n = (np.stack(pdf[c]) for c in ("s", "r", "t", "neg"))
-            loss, gs, gr, gt, gn = _gradients(model, s, r, t, n, margin)
+            loss, gs, gr, gt, gn = hinge_gradients(model, s, r, t, n, margin)
             hot = loss > 0
             out = []
             weight = pdf["copies"].to_numpy(dtype=float)
@@ -334,6 +334,8 @@ def train(
     Each epoch joins the triples with the current vectors and with hashed
     negative targets, sums gradients per entity (in Arrow batches, then
     map-side, then by key), updates, and L2-normalises entity vectors.
+    Negatives are uniform over the whole graph at every size, at the price of
+    a vector per negative in the joins; ``training.train_models`` moves less.
     Returns ``(vectors, relations, losses)``; losses has one row per epoch.
     """
     if model not in MODELS:
@@ -380,9 +382,9 @@ def train(
             .select(*keys, "src", "dst", "et", "copies", "neg_id", "s", "r", "t", "neg")
         )
         grads = pin(rows.mapInPandas(_gradient_rows(model, keys, margin), schema))
-        ent = grads.filter("kind = 'e'").groupBy(*keys, "id").agg(_vector_sum("grad", width).alias("g"))
+        ent = grads.filter("kind = 'e'").groupBy(*keys, "id").agg(vector_sum("grad", width).alias("g"))
         rel = grads.filter("kind = 'r'").groupBy(*keys, F.col("id").alias("et")).agg(
-            _vector_sum("grad", rel_width).alias("g")
+            vector_sum("grad", rel_width).alias("g")
         )
         step = F.when(
             F.col("g").isNull(), F.col("vec")

@@ -61,4 +61,13 @@ def pin(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pinned_path = path
+    return out
+
+
+def unpin(df: DataFrame) -> None:
+    """Delete a table that ``pin`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._pinned_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
