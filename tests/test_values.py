@@ -135,6 +135,15 @@ def test_statistics(spark):
     assert math.isnan(const)
 
 
+def test_ranks_of_values_that_differ_on_every_evaluation(spark):
+    """Every row keeps its rank although a second evaluation of the values would give others."""
+    drawn = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
+    rows = spark.range(40).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 4 < 2, "a").otherwise("b").alias("s"), drawn().alias("v"))
+    ranks = B.average_rank(rows, ["g"], "v", "r").collect()
+    assert sorted(r["r"] for r in ranks if r["g"] == 0) == [float(i) for i in range(1, 21)]
+    assert B.cliffs_delta(rows, ["g"], "s", "v").count() == 2
+
+
 def test_ordered_positions_and_copies(spark):
     rows = spark.createDataFrame([(f"k{i % 2}", i) for i in range(500)], "k string, i int")
     hashed = rows.withColumn("h", text_hash("k", "i"))
