@@ -57,6 +57,27 @@ def test_paths(corpus):
     assert rows["split"]["average_shortest_path_length"] == 0 and rows["single"]["diameter"] == 0
 
 
+def test_paths_and_spectra_of_the_largest_component(spark, monkeypatch):
+    """A path of four beside a triangle and a lone node; two equal components: the one with the smallest name."""
+    rows = {"p": [("b", "c"), ("c", "d"), ("d", "e"), ("d", "c"), ("x", "y"), ("y", "z"), ("x", "z")], "t": [("a", "k"), ("k", "m"), ("b", "c"), ("c", "d"), ("b", "d")]}
+    edges = spark.createDataFrame([(g, a, b) for g, e in rows.items() for a, b in e], "graph_id string, u string, v string")
+    nodes = edges.selectExpr("graph_id", "inline(array(struct(u AS v), struct(v AS v)))").distinct()
+    nodes = nodes.unionByName(spark.createDataFrame([("p", "a")], "graph_id string, v string"))
+    want = {"p": (4, 12, 20, 3), "t": (3, 6, 8, 2)}
+    for most in (I.MOST_NODES, 5):  # with 5 both graphs go by rounds over the cluster, or only one
+        monkeypatch.setattr(I, "MOST_NODES", most)
+        got = {r["graph_id"]: (r["n"], r["reached"], r["dist_sum"], r["ecc"]) for r in I.distances(nodes, edges, largest=True).collect()}
+        assert got == want
+    monkeypatch.setattr(I, "MOST_NODES", 7)
+    assert {tuple(r) for r in I.distances(nodes, edges).collect()} == {tuple(r) for r in I.wide_distances(nodes, edges).collect()}
+    monkeypatch.setattr(I, "SEARCH_WORDS", 1)
+    assert I._graph_distances(200, *np.array([(i, j) for i in range(200) for j in (i - 1, i + 1) if 0 <= j < 200]).T) == (
+        200 * 199, sum(2 * k * (200 - k) for k in range(200)), 199)
+    monkeypatch.setattr(I, "MOST_NODES", 4096)
+    got = {r["graph_id"]: r["algebraic_connectivity"] for r in I.spectra(nodes, edges, ["algebraic_connectivity"], largest=True).collect()}
+    assert got == pytest.approx({"p": 2 - math.sqrt(2), "t": 1.0})
+
+
 def test_spectra_have_one_method_and_a_limit(spark):
     n = 2000
     rows = {"path": [(i, i + 1) for i in range(n - 1)], "star": [(0, i) for i in range(1, n)]}
