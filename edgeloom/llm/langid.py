@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from edgeloom.llm.common import (
     split_words,
     sums_by_text,
     text_or_empty,
+    worker_cache,
 )
 
 ORDER = 4
@@ -40,6 +42,9 @@ REJECT_Z = 6.0
 OWN_SPREAD, LEAST_SPREAD = 20, 0.03
 UNKNOWN = "und"
 
+#: Bytes of text a worker looks at together.
+PART_BYTES = 4 << 20
+
 START, END = ord("^"), ord("$")
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
@@ -200,13 +205,32 @@ def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: flo
     return out
 
 
+def text_parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of consecutive parts of about PART_BYTES, a longer text alone."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, before + PART_BYTES, "right")) - at)
+        yield at, n
+        at += n
+
+
+def fresh_worker() -> None:
+    """A worker of this operator drops what earlier ones kept in it (tokenizers, words): idle, it would add to the peak."""
+    worker_cache().clear()
+    pa.default_memory_pool().release_unused()
+
+
 def count_grams(train: DataFrame, order: int = ORDER, bits: int = KEY_BITS) -> DataFrame:
     """``GRAMS`` of all rows ``(text, lang)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
-            if batch.num_rows:
-                for got in grams_of(column_array(batch, "text"), batch.column(1).to_pylist(), order, bits):
+            texts, langs = column_array(batch, "text"), batch.column(1).to_pylist()
+            for at, n in text_parts(texts):
+                for got in grams_of(texts.slice(at, n), langs[at : at + n], order, bits):
                     yield pa.RecordBatch.from_pydict(got)
 
     return (
@@ -346,20 +370,27 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: lis
     # Arrays and lists only: workers need not be able to import this module. As many entries as different n-grams.
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else vars(model))
 
+    # A string column that is kept anyway goes to the workers once.
+    once = any(f.name == text and f.dataType.simpleString() == "string" for f in kept)
+    told = [F.col(f"`{f.name}`") for f in kept] + ([] if once else [text_or_empty(text).alias("_text")])
+    names = [f.name for f in kept]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, own = column_array(batch, "_text"), None if shared.value is None else Model(**shared.value)
-            if own is None:
-                n = batch.num_rows
-                got = {"lang": [UNKNOWN] * n, "score": np.zeros(n), "bits": np.full(n, np.nan), "rejected": np.ones(n, bool)}
-            else:
-                got = own.predict(texts)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(got["lang"], pa.string()), pa.array(got["score"]), pa.array(got["bits"]), pa.array(got["rejected"])],
-                names=[*[f.name for f in kept], *results],
-            )
-
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], text_or_empty(text).alias("_text")).mapInArrow(run, schema)
+        fresh_worker()
+        own = None if shared.value is None else Model(**shared.value)
+        for whole in batches:
+            for at, n in text_parts(column_array(whole, text if once else "_text")):
+                batch = whole.slice(at, n)
+                if own is None:
+                    got = {"lang": [UNKNOWN] * n, "score": np.zeros(n), "bits": np.full(n, np.nan), "rejected": np.ones(n, bool)}
+                else:
+                    got = own.predict(pc.fill_null(column_array(batch, text if once else "_text"), ""))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[: len(names)], pa.array(got["lang"], pa.string()), pa.array(got["score"]), pa.array(got["bits"]), pa.array(got["rejected"])],
+                    names=[*names, *results],
+                )
+
+    return docs.select(*told).mapInArrow(run, schema)
 
 
 @query("op10_kneser_ney_language")

@@ -240,6 +240,23 @@ def test_pipeline_keeps_clean_documents_and_applies_every_stage(spark, tmp_path)
     assert corpus_pipeline.run(spark, folder(tmp_path / "none", documents=table.limit(0))).count() == 0
 
 
+def test_language_workers_take_bounded_parts_and_drop_what_others_kept(spark, monkeypatch):
+    import pyarrow as pa
+
+    from edgeloom.llm.common import worker_cache
+
+    texts = pa.array(["abc", None, "x" * 50, "", "de", "f" * 9])
+    monkeypatch.setattr(L, "PART_BYTES", 10)
+    parts = list(L.text_parts(texts))
+    assert parts == [(0, 2), (2, 1), (3, 2), (5, 1)]
+    worker_cache()["tokenizer"] = object()
+    L.fresh_worker()
+    assert not worker_cache()
+    docs = spark.createDataFrame([(1, None), (2, "one two"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["lang_pred"]) for r in L.identify(docs, None).collect()}
+    assert got == {1: (None, "und"), 2: ("one two", "und"), 3: ("", "und")}
+
+
 def test_marks_without_a_letter_are_no_letters():
     words = [x.encode() for x in ("❤️", "́", "1️⃣", "é", "❤️a", "abc")]
     runs, owner, per_word = L.letters(words)
