@@ -116,3 +116,28 @@ def test_integrity(spark):
     assert kinds == {"duplicate_id", "dangling_target", "unknown_edge_type"}
     with pytest.raises(ValueError):
         require_integrity(entities, edges)
+
+
+def test_tasks_contract_their_edges_and_keep_the_components(spark, monkeypatch):
+    """Two graphs with the same node names; chunks of 16 edges, so that a task contracts many times."""
+    from edgeloom.operators import components as C
+
+    monkeypatch.setattr(C, "CHUNK_EDGES", 16)
+    rng = random.Random(3)
+    rows = [(g, f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for g in ("x", "y") for _ in range(45)]
+    rows += [("x", "n00", f"n{i:02d}") for i in range(20, 50)] * 20
+    edges = spark.createDataFrame(rows, "domain string, u string, v string")
+    small = C.contracted(edges.coalesce(1), K)
+    assert small.count() < 120
+    root = {(g, f"n{i:02d}"): (g, f"n{i:02d}") for g in ("x", "y") for i in range(60)}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for g, a, b in rows:
+        a, b = find((g, a)), find((g, b))
+        root[max(a, b)] = min(a, b)
+    want = {(*a, find(a)[1]) for a in root if find(a) != a}
+    assert {tuple(r) for r in C.component_stars(edges, K, "u", "v").collect()} == want
