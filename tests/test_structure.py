@@ -3,8 +3,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
+from edgeloom.operators import invariants as I
 from edgeloom.operators import structure as S
 from edgeloom.operators import triangles as T
 from edgeloom.operators.components import connected_components
@@ -141,3 +143,42 @@ def test_tasks_contract_their_edges_and_keep_the_components(spark, monkeypatch):
         root[max(a, b)] = min(a, b)
     want = {(*a, find(a)[1]) for a in root if find(a) != a}
     assert {tuple(r) for r in C.component_stars(edges, K, "u", "v").collect()} == want
+
+
+def test_triangles_in_many_small_cells(spark, monkeypatch):
+    """Graphs above one cell are coloured: same counts and rows, and no cell beyond its bound by much."""
+    monkeypatch.setattr(T, "CELL_PAIRS", 40)
+    rng = random.Random(8)
+    types = ["derives", "explains", "contradicts"]
+    nodes = [f"n{i}" for i in range(40)]
+    big = [(rng.choice(nodes), rng.choice(nodes), rng.choice(types)) for _ in range(400)]
+    mid = [(rng.choice(nodes[:12]), rng.choice(nodes[:12]), rng.choice(types)) for _ in range(90)]
+    _, df = kg(spark, {"big": (plain(nodes), big), "mid": (plain(nodes[:12]), mid), "tiny": GRAPHS["triangle"]})
+    got = {r["domain"]: (r["n_triangles"], r["n_coherent"]) for r in T.directed_triangle_counts(df, K).collect()}
+    assert got["big"] == brute_triples(big) and got["mid"] == brute_triples(mid) and got["tiny"][0] > 0
+    rows = [r for r in T.directed_triangles(df, K).collect() if r["domain"] == "big"]
+    assert len({(r["a"], r["b"], r["c"]) for r in rows}) == len(rows) == got["big"][0]
+    cells = T._dealt(T.node_pairs(df, K), K).groupBy("domain", "cell").count().collect()
+    assert len(cells) > 20 and max(r["count"] for r in cells) <= 80
+
+
+def test_node_counts_in_cells_count_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(T, "CELL_PAIRS", 30)
+    rng = random.Random(5)
+    edges = [("g", rng.randrange(25), rng.randrange(25)) for _ in range(500)]
+    df = spark.createDataFrame(edges, "graph_id string, u long, v long")
+    lonely = spark.createDataFrame([("g", 99), ("g", 99), ("h", 1)], "graph_id string, v long")
+    near = {}
+    for _, u, v in edges:
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    want = {
+        ("g", u): (len(n), sum(1 for a in n for b in n if a < b and b in near[a])) for u, n in near.items()
+    } | {("g", 99): (0, 0), ("h", 1): (0, 0)}
+    feats = I.node_features(lonely, df)
+    assert {(r["graph_id"], r["v"]): (r["deg"], r["t"]) for r in feats.collect()} == want
+    x = [len(near[u]) for u in near for _ in near[u]]
+    y = [len(near[v]) for u in near for v in near[u]]
+    rows = {r["graph_id"]: r["degree_assortativity"] for r in I.degree_assortativity(feats, I.as_pairs(df)).collect()}
+    assert rows["g"] == pytest.approx(np.corrcoef(x, y)[0, 1]) and rows["h"] == 0
