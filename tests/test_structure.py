@@ -1,5 +1,6 @@
 """Hand-made graphs with values worked out from the definitions."""
 
+import hashlib
 import math
 import random
 
@@ -10,6 +11,7 @@ from edgeloom.operators import invariants as I
 from edgeloom.operators import structure as S
 from edgeloom.operators import triangles as T
 from edgeloom.operators.components import connected_components
+from edgeloom.operators.splits import kg_split, mask_split
 from edgeloom.sources.kg import integrity_violations, require_integrity
 
 K = ["domain"]
@@ -182,3 +184,27 @@ def test_node_counts_in_cells_count_copies_once(spark, monkeypatch):
     y = [len(near[v]) for u in near for v in near[u]]
     rows = {r["graph_id"]: r["degree_assortativity"] for r in I.degree_assortativity(feats, I.as_pairs(df)).collect()}
     assert rows["g"] == pytest.approx(np.corrcoef(x, y)[0, 1]) and rows["h"] == 0
+
+
+def test_splits_sort_only_the_edges_at_their_cuts(spark):
+    rng = random.Random(2)
+    edges = {"big": [(f"a{rng.randrange(60)}", f"b{rng.randrange(60)}", "derives") for _ in range(5000)], "one": [("a", "b", "derives")]}
+    _, df = kg(spark, {g: (plain(["x"]), e) for g, e in edges.items()})
+    four, two = kg_split(df, K), mask_split(df, K)
+    for g, rows in edges.items():
+        seen, hashed = {}, []
+        for s, d, et in rows:
+            seen[s, d] = seen.get((s, d), 0) + 1
+            text = "|".join(["42", g, s, d, et, str(seen[s, d])])
+            hashed.append((hashlib.md5(text.encode()).hexdigest(), s, d, seen[s, d]))
+        order = [r[1:] for r in sorted(hashed)]
+        n = len(order)
+        hidden = max(1, round(n * 0.1))
+        tenth = round((n - hidden) * 0.1)
+        places = [hidden, n - hidden - 2 * tenth, tenth, tenth]
+        want = dict(zip(order, [x for x, k in zip(("hidden", "train", "val", "test"), places) for _ in range(k)]))
+        got = {(r["src"], r["dst"], r["copy"]): r["split"] for r in four.filter(f"domain = '{g}'").collect()}
+        assert got == want
+        tests = {(r["src"], r["dst"], r["copy"]) for r in two.filter(f"domain = '{g}' AND split = 'test'").collect()}
+        assert tests == set(order[: max(1, n // 5)])
+    assert "Window" not in two._jdf.queryExecution().executedPlan().toString()
