@@ -103,6 +103,30 @@ def worker_cache() -> dict:
     return sys.modules.setdefault(name, pytypes.ModuleType(name)).__dict__
 
 
+def fresh_worker() -> None:
+    """A worker of this operator drops what earlier ones kept in it (tokenizers, words): idle, it would add to the peak."""
+    worker_cache().clear()
+    pa.default_memory_pool().release_unused()
+
+
+def parts_of(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of consecutive parts of about ``size`` bytes, a longer text alone."""
+    length = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(length), 0
+    while at < len(length):
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, before + size, "right")) - at)
+        yield at, n
+        at += n
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` by about ``size`` bytes of text, of which words and hashes take many times that."""
+    for batch in batches:
+        for at, n in parts_of(column_array(batch, column), size):
+            yield batch.slice(at, n)
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Per word its number among the distinct words, those words, and per text its first word.
 

@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from edgeloom.llm.common import (
     Scratch,
     column_array,
+    fresh_worker,
+    parts_of,
     query,
     read,
     settle,
     split_words,
     sums_by_text,
     text_or_empty,
-    worker_cache,
 )
 
 ORDER = 4
@@ -207,19 +208,7 @@ def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: flo
 
 def text_parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """First row and number of rows of consecutive parts of about PART_BYTES, a longer text alone."""
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, at = np.cumsum(size), 0
-    while at < len(size):
-        before = int(ends[at - 1]) if at else 0
-        n = max(1, int(np.searchsorted(ends, before + PART_BYTES, "right")) - at)
-        yield at, n
-        at += n
-
-
-def fresh_worker() -> None:
-    """A worker of this operator drops what earlier ones kept in it (tokenizers, words): idle, it would add to the peak."""
-    worker_cache().clear()
-    pa.default_memory_pool().release_unused()
+    return parts_of(texts, PART_BYTES)
 
 
 def count_grams(train: DataFrame, order: int = ORDER, bits: int = KEY_BITS) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import Scratch, column_array, split_words, text_or_empty
+from edgeloom.llm.common import Scratch, column_array, fresh_worker, small_batches, split_words, text_or_empty
 from edgeloom.llm.simhash import components
 
 #: Members up to which an open list is compared by pairs: a group of its own costs a
@@ -118,9 +118,8 @@ def emit(docs: DataFrame, text: str, doc_id: str, words: int, tokens: Tokens, ma
     shape = f"rid long, doc_id {kind}, th long, n long, d1 long, d2 long, mark long, sketch binary, part int, tokens array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        fresh_worker()
+        for batch in small_batches(batches, "text"):
             sets = shingle_sets(column_array(batch, "text"), words)
             owner, token = tokens(sets)
             order = np.argsort(owner, kind="stable")
@@ -175,15 +174,14 @@ def sets_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, words: in
     """A function from a table of ``key`` to the kept ``(key, shingles)``, read from the texts of just those nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sets = shingle_sets(column_array(batch, "text"), words)
-                same = [
-                    len(s) == n and mix64(s).sum().view(np.int64) == d
-                    for s, n, d in zip(sets, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-                ]
-                out = [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, names=["key", "shingles"]).filter(pa.array(same, pa.bool_()))
+        for batch in small_batches(batches, "text"):
+            sets = shingle_sets(column_array(batch, "text"), words)
+            same = [
+                len(s) == n and mix64(s).sum().view(np.int64) == d
+                for s, n, d in zip(sets, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            ]
+            out = [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["key", "shingles"]).filter(pa.array(same, pa.bool_()))
 
     def sets(keys: DataFrame) -> DataFrame:
         # Written, its size is known: a small table is sent to the texts, which then are not shuffled.

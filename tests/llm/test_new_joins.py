@@ -198,3 +198,15 @@ def test_texts_of_a_shingle_or_less():
     got = J.shingle_sets(pa.array(["", " a ", "a", "a b", "A  B", "a b c d e", "b c d e"]), 4)
     assert [len(s) for s in got] == [0, 1, 1, 1, 1, 2, 1]
     assert got[1] == got[2] and got[3] == got[4] and got[6][0] in got[5]
+
+
+def test_workers_take_texts_in_small_parts():
+    """Long batches are cut by bytes of text; no row is lost and a longer text stands alone."""
+    from edgeloom.llm.common import small_batches
+
+    texts = ["a" * 30, None, "b" * 500, "", "c" * 60, "d" * 30] * 3
+    batch = pa.RecordBatch.from_pydict({"rid": list(range(len(texts))), "text": texts})
+    got = list(small_batches(iter([batch, batch.slice(0, 0)]), "text", 100))
+    assert [r for b in got for r in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= 100 for b in got)
+    assert len(got) >= 6
