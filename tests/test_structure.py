@@ -208,3 +208,39 @@ def test_splits_sort_only_the_edges_at_their_cuts(spark):
         tests = {(r["src"], r["dst"], r["copy"]) for r in two.filter(f"domain = '{g}' AND split = 'test'").collect()}
         assert tests == set(order[: max(1, n // 5)])
     assert "Window" not in two._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_centres_go_into_the_rounds(spark, monkeypatch):
+    from edgeloom.operators import components as C
+
+    rows = [("g", n, 0) for n in range(1, 500)] + [("h", 7, 3), ("h", 3, 9), ("h", 20, 21)]
+    edges = spark.createDataFrame(rows, "domain string, src long, dst long").repartition(6)
+    seen, plain = [], C._is_star
+    monkeypatch.setattr(C, "_is_star", lambda star, keys: seen.append(star.count()) or plain(star, keys))
+    want = {("g", n, 0) for n in range(1, 500)} | {("h", 7, 3), ("h", 9, 3), ("h", 21, 20)}
+    assert {tuple(r) for r in C.component_stars(edges, K).collect()} == want
+    assert seen[0] <= 3
+    assert {tuple(r) for r in C.forest_sizes(edges, K).collect()} == {("g", 499), ("h", 3)}
+
+
+def test_parts_before_and_after_equal_two_whole_tables(spark):
+    kinds = ["derives", "explains", "contradicts", "maps_to"]
+    rows = [("g", i % 13, i * 5 % 17, kinds[i % 4]) for i in range(60)] + [("g", 40, 41, "derives"), ("g", 3, 3, "maps_to")]
+    more = [("g", 41, 2, "derives"), ("g", 2, 40, "explains"), ("g", 4, 11, "contradicts"), ("g", 5, 5, "derives"), ("g", 50, 51, "maps_to")]
+    schema = "domain string, src long, dst long, et string"
+    edges, added = spark.createDataFrame(rows, schema), spark.createDataFrame(more, schema)
+    nodes = spark.createDataFrame([("g", n, "ab"[n % 2]) for n in range(60)], "domain string, id long, entity_type string")
+    got = [r.collect()[0] for r in S.components_before_after(edges, added, nodes, K)]
+    want = [S.components_table(e, nodes, K).collect()[0] for e in (edges, edges.unionByName(added))]
+    for a, b in zip(got, want):
+        assert a.asDict() == pytest.approx(b.asDict())
+
+
+def test_numbered_nodes_are_written_as_their_texts(spark):
+    from edgeloom.catalog.derive import kind_of, node_text, number_of
+
+    texts = ["region:0", "order:149999", "new:12", "part:9007199254740993", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", number_of("t").alias("n"))
+    for r in rows.filter("t IS NOT NULL").select("t", node_text("n").alias("u"), kind_of("n").alias("k")).collect():
+        assert r.u == r.t and r.k == r.t.split(":")[0]
+    assert rows.filter("t IS NULL").first().n is None
