@@ -1,5 +1,6 @@
 """Closed forms and brute force for invariants, ranks, statistics, logs and text."""
 
+import hashlib
 import math
 import random
 
@@ -294,3 +295,23 @@ def test_month_names_are_those_of_the_graphs(spark):
     d = "/root/testdata/sf0.001"
     nodes, _ = C.month_graphs(spark, d)
     assert {r[0] for r in C.month_ids(spark, d).collect()} == {r[0] for r in nodes.select("graph_id").distinct().collect()}
+
+
+def test_bootstrap_sums_equal_the_drawn_rows(spark, monkeypatch):
+    """Blocks of 8 rows, 16 draws at once; no draw is a row of a plan."""
+    from edgeloom.functions.digests import numbered_digests
+    from edgeloom.operators import statistics as B
+
+    for name, size in (("BLOCK", 8), ("DRAWS", 16), ("SHARE", 2), ("DRAW_TASKS", 3)):
+        monkeypatch.setattr(B, name, size)
+    rows = spark.createDataFrame([("ab"[i % 3 == 0], i, float(i * i)) for i in range(100)] + [("c", 7, 2.0)], "g string, id int, v double")
+    drawn = B.bootstrap_resample(rows, ["g"], 5, 42, ["id"]).groupBy("g", "rep").agg(
+        F.sum("times").alias("drawn"), F.count("*").alias("distinct_rows"), F.sum(F.col("v") * F.col("times")).alias("total")
+    )
+    want = {tuple(r) for r in drawn.collect()}
+    monkeypatch.setattr(B, "bootstrap_resample", None)
+    assert {tuple(r) for r in B.bootstrap_sums(rows, ["g"], 5, 42, ["id"], "v").collect()} == want
+    long = b"x" * 60
+    for prefix in (b"42|a|1|", long):
+        got = numbered_digests(prefix, 8, 101)
+        assert got.tolist() == [int(hashlib.md5(prefix + str(i).encode()).hexdigest()[:15], 16) for i in range(8, 102)]
